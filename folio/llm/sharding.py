@@ -17,6 +17,8 @@ from . import scratch
 
 #: Bytes of text that one bucket holds on average; a task keeps one bucket in memory.
 BUCKET_BYTES = 16 << 20
+#: The bucket table is broadcast up to this many rows; a larger one is joined by a shuffle.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def rendezvous(key: Column, n_shards: int, seed: int) -> Column:
@@ -69,7 +71,8 @@ def shard_records(
     sizes = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # one row a bucket: bounded by input bytes / bucket_bytes, and left to the planner whether to broadcast
+    if n_buckets <= BROADCAST_BUCKETS:  # one row of 16 bytes a bucket
+        bases = F.broadcast(bases)
     return written.join(bases, ["shard", "bucket"]).select(
         "record", "shard", "grown_shard", (F.col("base") + F.col("place")).alias("slot")
     )
