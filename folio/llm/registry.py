@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op10_byte_bpe
 from .jaccard import op9_jaccard_join
 from .sharding import op1_sharding
+from .tokenbin import op8_token_binary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op8_token_binary": op8_token_binary,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE: dict[str, str] = {}
