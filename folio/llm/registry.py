@@ -10,9 +10,11 @@ from .bpe import op10_byte_bpe
 from .jaccard import op9_jaccard_join
 from .sharding import op1_sharding
 from .tokenbin import op8_token_binary
+from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op4_toxicity": op4_toxicity,
     "op8_token_binary": op8_token_binary,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_byte_bpe": op10_byte_bpe,
