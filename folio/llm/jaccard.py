@@ -7,7 +7,8 @@
    overlap needed. A list first pairs its members with one pivot only. Their verified overlaps are computed answers: the
    others of a list follow from them where they join one component, and the triangle inequality of the Jaccard distance
    rules out more. Only what is left is compared.
-4. Candidates are verified on whole sets, and links become components.
+4. Candidates whose parity bitmaps differ in more bits than a link allows are ruled out; the rest are verified on whole
+   sets, and links become components.
 """
 
 from __future__ import annotations
@@ -89,9 +90,56 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Parities of a set's counts in at least twice as many bins as it has members.
+
+    The bits in which two bitmaps differ are at most as many as the members that only one set has.
+    """
+    size = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    counts = np.bincount(((s >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _set_keys(k: int):
+    """(doc_id, text) to (doc_id, n, k1, k2, bitmap); a set's bitmap comes with the first documents that have it."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            rows = []
+            for s in document_sets(batch.column(1), k):
+                k1, k2 = set_key(s) if len(s) else (None, None)
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                rows.append((len(s), k1, k2, parity_bitmap(s) if len(s) and k1 not in seen else None))
+                seen.add(k1)
+            if rows:
+                n, k1, k2, bits = zip(*rows, strict=True)
+                yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "n": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+    return run
+
+
+def _close_enough(num: int, den: int):
+    """Keeps pairs (a, b, na, nb, bits_a, bits_b) whose bitmaps allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                x, y = (x, y) if len(x) >= len(y) else (y, x)
+                while len(x) > len(y):  # halves of a bitmap add up to the bitmap of half as many bins
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (num + den) <= (na[i] + nb[i]) * (den - num))
+            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _postings(levels, bits: int, k: int, num: int, den: int, buckets: int):
-    """(doc_id, text) to rows of kind 0 (a document's set key) and kind 1 (a packed block of postings)."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("block", pa.binary())])
+    """Texts to packed blocks of postings by bucket; a set met before in a task posts nothing again."""
 
     def run(batches):
         common, seen, held, count = levels.value, set(), [], 0
@@ -102,21 +150,14 @@ def _postings(levels, bits: int, k: int, num: int, den: int, buckets: int):
             order = np.argsort(b, kind="stable")
             p, b = p[order], b[order]
             cuts = np.flatnonzero(np.diff(b)) + 1
-            firsts = np.concatenate([[0], cuts])
-            none = pa.nulls(len(firsts), pa.int64())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(firsts), np.int8)), none, none, none, none, pa.array(b[firsts], pa.int32()), pa.array([x.tobytes() for x in np.split(p, cuts)], pa.binary())], schema=schema)
+            return pa.record_batch({"bucket": pa.array(b[np.concatenate([[0], cuts])], pa.int32()), "block": pa.array([x.tobytes() for x in np.split(p, cuts)], pa.binary())})
 
         for batch in batches:
-            rows = []
-            for s in document_sets(batch.column(1), k):
+            for s in document_sets(batch.column(0), k):
                 n = len(s)
-                if not n:
-                    rows.append((0, None, None))
-                    continue
-                k1, k2 = set_key(s)
-                rows.append((n, k1, k2))
-                if k1 in seen:
+                k1 = set_key(s)[0] if n else None
+                if not n or k1 in seen:
                     continue
                 if len(seen) >= SEEN_SETS:
                     seen.clear()
@@ -132,9 +173,6 @@ def _postings(levels, bits: int, k: int, num: int, den: int, buckets: int):
                 if count >= FLUSH_POSTINGS:
                     yield flush()
                     count = 0
-            if rows:
-                n, k1, k2 = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=schema)
         if held:
             yield flush()
 
@@ -212,11 +250,31 @@ def _open_pairs(num: int, den: int):
     return run
 
 
-def _rebuild(k: int):
+#: Bits of the filter on document ids that are read again; what it lets through is joined exactly afterwards.
+WANTED_BITS = 1 << 22
+
+
+def _wanted_bitmap(ids: DataFrame) -> np.ndarray:
+    """Flags of the hash places that ``doc_id`` takes: a fixed size, whatever the number of ids."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
+    rows = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    flags = np.zeros(WANTED_BITS + 65536, bool)
+    for r in rows:
+        part = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").astype(bool)
+        lo = (r.bucket - 1) * 32768 + 1  # place 0 has bucket 0, places 1 to 32768 have bucket 1
+        flags[max(lo, 0) : lo + len(part)] |= part[max(-lo, 0) :]
+    return flags
+
+
+def _rebuild(k: int, flags):
+    """(place, text) to (id, set) of the rows whose place is flagged."""
+
     def run(batches):
         for batch in batches:
-            sets = [(set_key(s), s) for s in document_sets(batch.column(0), k)]
-            yield pa.record_batch({"id": pa.array([x[0][0] for x in sets], pa.int64()), "set": pa.array([x[1].view(np.int64) for x in sets], pa.list_(pa.int64()))})
+            part = batch.filter(pa.array(flags.value[batch.column(0).to_numpy()]))
+            for lo in range(0, len(part), 256):
+                sets = [(set_key(s)[0], s) for s in document_sets(part.column(1).slice(lo, 256), k) if len(s)]
+                yield pa.record_batch({"id": pa.array([x[0] for x in sets], pa.int64()), "set": pa.array([x[1].view(np.int64) for x in sets], pa.list_(pa.int64()))})
 
     return run
 
@@ -245,19 +303,29 @@ def jaccard_components(df: DataFrame, key: str, text: str, k: int = 5, num: int
     levels, n_shingles = shingle_levels(docs, "text", k, bits)
     buckets = max(64, n_shingles * (den - num) // den * POSTING.itemsize >> 23)
     shared = spark.sparkContext.broadcast(levels)  # 2 ** 22 bytes at most
-    posted = scratch.materialize(docs.mapInArrow(_postings(shared, bits, k, num, den, buckets), "kind tinyint, doc_id long, n long, k1 long, k2 long, bucket int, block binary"), "postings")
-    keys = posted.where("kind = 0").select("doc_id", "n", "k1", "k2")
+    keys = scratch.materialize(docs.mapInArrow(_set_keys(k), "doc_id long, n long, k1 long, k2 long, bits binary"), "keys")
     index = scratch.materialize(
-        posted.where("kind = 1").select("bucket", "block").groupBy("bucket").applyInArrow(_index_lists(num, den), "kind tinyint, a long, b long, ids array<long>, ns array<long>, rems array<long>"), "lists"
+        docs.select("text").mapInArrow(_postings(shared, bits, k, num, den, buckets), "bucket int, block binary").groupBy("bucket").applyInArrow(_index_lists(num, den), "kind tinyint, a long, b long, ids array<long>, ns array<long>, rems array<long>"), "lists"
     )
-    stars = index.where("kind = 0").select("a", "b").distinct()
     lists = index.where("kind = 1").select(F.monotonically_increasing_id().alias("list"), F.array_min("ids").alias("pivot"), F.explode(F.arrays_zip("ids", "ns", "rems")).alias("m")).select("list", "pivot", F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.rems").alias("rem"))
-
-    classes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
-    members = index.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.col("ids"))).alias("k1")).distinct()
-    wanted = classes.join(members, "k1").select(F.col("first").alias("doc_id")).distinct()
-    sets = scratch.materialize(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_rebuild(k), "id long, set array<long>").where(F.size("set") > 0).dropDuplicates(["id"]), "sets")
-
+    classes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    bitmaps = keys.where("bits is not null").groupBy("k1").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        ends = [bitmaps.select(F.col("k1").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
+        both = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+        return scratch.materialize(both.mapInArrow(_close_enough(num, den), "a long, b long"), "pairs")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = classes.join(members.withColumnRenamed("id", "k1"), "k1").select(F.col("first").alias("doc_id"))
+        flags = spark.sparkContext.broadcast(_wanted_bitmap(wanted))
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
+        found = docs.select(place, "text").mapInArrow(_rebuild(k, flags), "id long, set array<long>")
+        return scratch.materialize(found.join(members, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set")), "sets")
+
+    stars = possible(index.where("kind = 0").select("a", "b").distinct())
+    sets = sets_of(stars)
     links = F.col("common") * den >= F.col("total") * num
     answers = scratch.materialize(verified(stars, sets), "answers")
     edges = answers.where(links).select("a", "b")
@@ -268,7 +336,8 @@ def jaccard_components(df: DataFrame, key: str, text: str, k: int = 5, num: int
     known = known.select("list", "id", "n", "rem", F.coalesce("comp", "id").alias("comp"), F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))).alias("dist"))
     split = known.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list")
     rest = known.join(split, "list").groupBy("list").applyInArrow(_open_pairs(num, den), "a long, b long").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.materialize(verified(rest, sets).where(links).select("a", "b"), "more")
+    rest = possible(rest)
+    more = scratch.materialize(verified(rest, sets_of(rest)).where(links).select("a", "b"), "more")
     over = more.select("a", "b").union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
     final = star_components(over, "jaccard").withColumnRenamed("id", "k1")
 
