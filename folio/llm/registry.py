@@ -10,6 +10,7 @@ from .bpe import op10_byte_bpe
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .jaccard import op9_jaccard_join
 from .linededup import OP7_SQL, op7_line_dedup
+from .neardup import OP6_SQL, op6_embedding_near_dedup
 from .sharding import op1_sharding
 from .tokenbin import op8_token_binary
 from .toxicity import op4_toxicity
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_binary": op8_token_binary,
     "op9_jaccard_join": op9_jaccard_join,
@@ -25,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
 }
