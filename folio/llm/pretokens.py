@@ -73,15 +73,18 @@ def split_texts(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
             size += len(texts[hi]) + 1
             hi += 1
         joined = "\x00".join(texts[lo:hi]) + "\x00"
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        try:
+            points = np.frombuffer(joined.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
         kinds = table[points]
         ends = np.cumsum([len(x) + 1 for x in texts[lo:hi]]) - 1
         kinds[ends] = END
         st = _starts(points, kinds)
-        starts = np.flatnonzero(st)
         st[ends] = True
         bounds = np.flatnonzero(st)
-        stops = bounds[np.searchsorted(bounds, starts) + 1]
+        opens = kinds[bounds] != END
+        starts, stops = bounds[opens], bounds[1:][opens[:-1]]
         words = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
         yield words, np.diff(np.searchsorted(starts, ends), prepend=0).tolist()
         lo = hi

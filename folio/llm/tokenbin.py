@@ -1,6 +1,6 @@
-"""Flat files of 32-bit token ids with 64-bit document offsets, written by ranges of document id and memory-mapped.
+"""Flat files of unsigned token ids with 64-bit document offsets, written by ranges of document id and memory-mapped.
 
-Every range partition writes ``.bin`` (ids, little-endian unsigned), ``.idx`` (offsets of its documents, one more than
+Every range partition writes ``.bin`` (little-endian unsigned ids of 16 bits where the vocabulary allows, else of 32), ``.idx`` (offsets of its documents, one more than
 documents) and ``.doc`` (document ids as an Arrow file). The manifest row of the attempt that won names its files; the
 partitions' bases are prefix sums over the manifest.
 """
@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 import zlib
+from array import array
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -36,29 +37,42 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte: itself if visible in Latin-1, else the next from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
 @lru_cache(2)
-def _worker(path: str) -> WordCache:
+def _worker(path: str, end_id: int) -> tuple[WordCache, str]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    kind = "<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    code = "H" if kind == "<u2" else "I"
+    letters, tokenize = byte_letters(), tokenizer.model.tokenize
+
     def encode(words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        # a match is what the library's pre-tokenizer hands to its model, byte by byte as printable characters
+        return [array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
 
-    return WordCache(encode)
+    return WordCache(encode), kind
 
 
 def _write(path: str | None, folder: str, end_id: int):
-    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches):
-        words = _worker(path or tokenizer_file())
+        words, kind = _worker(path or tokenizer_file(), end_id)
+        width = np.dtype(kind).itemsize
         store, root = pafs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
-        end, offsets, stream, docs, sink = np.array([end_id], "<u4").tobytes(), [0], None, None, None
+        end, offsets, stream, docs, sink = np.array([end_id], kind).tobytes(), [0], None, None, None
         for batch in batches:
             if not len(batch):
                 continue
@@ -70,14 +84,14 @@ def _write(path: str | None, folder: str, end_id: int):
             for lo in range(0, len(batch), 256):
                 for raw in words.ids([x or "" for x in batch.column(1).slice(lo, 256).to_pylist()]):
                     stream.write(raw + end)
-                    offsets.append(offsets[-1] + len(raw) // 4 + 1)
+                    offsets.append(offsets[-1] + len(raw) // width + 1)
         if stream is not None:
             stream.close()
             docs.close()
             sink.close()
             with store.open_output_stream(f"{name}.idx") as f:
                 f.write(np.array(offsets, "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(offsets) - 1], pa.int64()), pa.array([offsets[-1]], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([kind]), pa.array([len(offsets) - 1], pa.int64()), pa.array([offsets[-1]], pa.int64())], schema=schema)
 
     return run
 
@@ -110,7 +124,7 @@ def write_token_files(df: DataFrame, key: str, text: str, path: str | None = Non
     ranges = max(1, n_bytes // RANGE_BYTES, min(spark.sparkContext.defaultParallelism, n_bytes >> 20))
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     ordered = rows.repartitionByRange(ranges, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    manifest = scratch.materialize(ordered.mapInArrow(_write(path, folder, end_id), "part int, path string, n_docs long, n_ids long"), "manifest")
+    manifest = scratch.materialize(ordered.mapInArrow(_write(path, folder, end_id), "part int, path string, kind string, n_docs long, n_ids long"), "manifest")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a file
     return folder, manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -121,17 +135,17 @@ def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
     def run(batches):
         store, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, kind, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_file(f"{name}.doc") as f:
                     docs = pa.ipc.open_file(f).read_all().column(0).combine_chunks()
-                with mapped(store, f"{name}.idx", "<i8") as offsets, mapped(store, f"{name}.bin", "<u4") as ids:
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                with mapped(store, f"{name}.idx", "<i8") as offsets, mapped(store, f"{name}.bin", kind) as ids:
+                    crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                     starts = np.asarray(offsets)
                     yield pa.record_batch({"doc_id": docs, "start": pa.array(starts[:-1] + base, pa.int64()), "n_tokens": pa.array(np.diff(starts), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    files = manifest.select("path", "base", "part")
+    files = manifest.select("path", "kind", "base", "part")
     n = max(1, min(files.count(), 4 * files.sparkSession.sparkContext.defaultParallelism))
-    return files.repartition(n, "part").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(n, "part").select("path", "kind", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
