@@ -11,6 +11,7 @@ from .decontaminate import OP2_SQL, op2_decontaminate
 from .jaccard import op9_jaccard_join
 from .linededup import OP7_SQL, op7_line_dedup
 from .neardup import OP6_SQL, op6_embedding_near_dedup
+from .quality import op5_quality_resampling
 from .sharding import op1_sharding
 from .tokenbin import op8_token_binary
 from .toxicity import op4_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op4_toxicity": op4_toxicity,
+    "op5_quality_resampling": op5_quality_resampling,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_binary": op8_token_binary,
