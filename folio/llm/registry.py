@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
+from .chat import OP3_SQL, op3_chat_format
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .jaccard import op9_jaccard_join
 from .linededup import OP7_SQL, op7_line_dedup
@@ -19,6 +20,7 @@ from .toxicity import op4_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
+    "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
     "op5_quality_resampling": op5_quality_resampling,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op3_chat_format": OP3_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
 }
