@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 UNANSWERABLE = "Unanswerable"
 STOPWORDS = ("about", "after", "between", "could", "their", "there", "these", "those", "using", "where", "which", "while", "would")
 FAILURES = (
-    ("memory", r"out of memory|oom|cannot allocate"),
+    ("memory", r"out of memory|\boom\b|cannot allocate"),
     ("timeout", r"timed? ?out|deadline"),
     ("quota", r"quota|rate limit|insufficient balance"),
     ("network", r"connection|network|unreachable"),
