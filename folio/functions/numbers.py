@@ -29,7 +29,7 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     spread = F.sqrt(F.try_divide(share * (1 - share), n) + F.try_divide(F.lit(z * z), 4 * n * n)) * z
     middle = share + F.try_divide(F.lit(z * z), 2 * n)
     scale = 1 + F.try_divide(F.lit(z * z), n)
-    limit = lambda x: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / scale)), F.lit(0.0))
+    limit = lambda x: F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / scale))).otherwise(0.0)
     return limit(middle - spread), limit(middle + spread)
 
 

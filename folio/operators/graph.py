@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.text import content_text, key_terms
 
@@ -77,7 +78,7 @@ def near_duplicate_questions(questions: DataFrame, key: str, question: str, num:
     return out.where(F.col("common") * den >= F.col("total") * num)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)])
 
