@@ -143,8 +143,8 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         near = np.zeros(0, int)
         if len(you) and len(hit):
             i = np.searchsorted(you, hit)
-            gap = np.minimum(np.abs(you[np.minimum(i, len(you) - 1)] - hit), np.abs(you[np.maximum(i - 1, 0)] - hit))
-            near = hit[gap <= 5]
+            sides = [you[np.minimum(i, len(you) - 1)], you[np.maximum(i - 1, 0)]]
+            near = hit[np.any([(np.abs(y - hit) <= 5) & (doc[y] == doc[hit]) for y in sides], axis=0)]
         filled = bounds[:-1] < bounds[1:]
         spots = bounds[:-1][filled]
 
@@ -158,6 +158,8 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         odd[1:-1] = letter[:-2] & STAND_IN[buf[1:-1]] & letter[2:]
         same = np.zeros(len(buf), bool)
         same[2:] = letter[2:] & (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2])
+        odd[spots] = same[spots] = odd[spots[1:] - 1] = False  # no pattern spans two documents
+        same[np.minimum(spots + 1, len(buf) - 1)] = False
         upper = np.concatenate([[0], np.cumsum(CAPITAL[buf])])
         lower = np.concatenate([[0], np.cumsum(SMALL[buf])])
         shout = np.flatnonzero((upper[w.ends] - upper[w.starts] > 1) & (lower[w.ends] == lower[w.starts]))
@@ -179,6 +181,9 @@ class BoostedTrees:
         self.rounds, self.depth, self.rate, self.bins, self.penalty = rounds, depth, rate, bins, penalty
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+        if not len(y):
+            self.start, self.trees = float("-inf"), []
+            return self
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
         p = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
