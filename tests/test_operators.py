@@ -4,7 +4,7 @@ import json
 from difflib import SequenceMatcher
 
 import pytest
-from conftest import SMALL
+from tests.support import SMALL
 from pyspark.sql import functions as F
 
 from folio.functions import numbers, pages, recover, text

@@ -1,7 +1,7 @@
 """Every core query against its SQL, or at least to its end."""
 
 import pytest
-from conftest import SMALL, same_rows
+from tests.support import SMALL, same_rows
 
 from folio.plans import registry
 
