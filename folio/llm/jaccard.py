@@ -307,7 +307,7 @@ def jaccard_components(df: DataFrame, key: str, text: str, k: int = 5, num: int
     index = scratch.materialize(
         docs.select("text").mapInArrow(_postings(shared, bits, k, num, den, buckets), "bucket int, block binary").groupBy("bucket").applyInArrow(_index_lists(num, den), "kind tinyint, a long, b long, ids array<long>, ns array<long>, rems array<long>"), "lists"
     )
-    lists = index.where("kind = 1").select(F.monotonically_increasing_id().alias("list"), F.array_min("ids").alias("pivot"), F.explode(F.arrays_zip("ids", "ns", "rems")).alias("m")).select("list", "pivot", F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.rems").alias("rem"))
+    lists = index.where("kind = 1").select(F.xxhash64("ids").alias("list"), F.array_min("ids").alias("pivot"), F.explode(F.arrays_zip("ids", "ns", "rems")).alias("m")).select("list", "pivot", F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.rems").alias("rem"))
     classes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     bitmaps = keys.where("bits is not null").groupBy("k1").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
