@@ -31,32 +31,33 @@ def assert_clean(df: DataFrame, found: Column, what: str) -> DataFrame:
     return df.where(F.when(F.size(found) > 0, F.raise_error(F.concat(F.lit(f"{what}: "), F.array_join(found, ",")))).otherwise(F.lit(True)))
 
 
-def prediction_codes(raw: Column, page_count: Column) -> Column:
-    """Codes of a raw model output that must be {"answer_pre": text, "evidence_pages": [integers]}.
+def with_prediction_codes(df: DataFrame, raw: str, page_count: Column, out: str = "codes") -> DataFrame:
+    """``df`` with the codes of raw outputs that must be {"answer_pre": text, "evidence_pages": [integers]}.
 
-    Strict JSON: a repeated key or a bare NaN is invalid.
+    Strict JSON: a repeated key or a bare NaN is invalid. Each output is parsed once, in a projection of its own.
     """
-    v = F.try_parse_json(raw)
-    kind = F.schema_of_variant(v)
-    is_object = kind.startswith("OBJECT")
-    answer_kind = F.schema_of_variant(F.try_variant_get(v, "$.answer_pre", "variant"))
-    pages_kind = F.schema_of_variant(F.try_variant_get(v, "$.evidence_pages", "variant"))
-    answer = F.when(answer_kind == "STRING", F.try_variant_get(v, "$.answer_pre", "string"))
-    is_list = F.coalesce(pages_kind.startswith("ARRAY"), F.lit(False))
-    whole = pages_kind.isin("ARRAY<BIGINT>", "ARRAY<VOID>")
-    pages = F.when(whole, F.coalesce(F.try_variant_get(v, "$.evidence_pages", "array<bigint>"), F.array().cast("array<bigint>")))
-    bare = F.regexp_replace(text(answer), r"(?U)^\s+|\s+$", "")
-    keys = F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+    parsed = df.withColumn("_v", F.try_parse_json(raw))
+    fields = parsed.withColumns({"_keys": F.try_variant_get("_v", "$", "map<string,variant>"), "_kind": F.schema_of_variant("_v")})
+    split = fields.withColumns({"_a": F.col("_keys")["answer_pre"], "_p": F.col("_keys")["evidence_pages"]})
+    typed = split.withColumns({"_ak": F.schema_of_variant("_a"), "_pk": F.schema_of_variant("_p")}).withColumns(
+        {
+            "_answer": F.when(F.col("_ak") == "STRING", F.try_variant_get("_a", "$", "string")),
+            "_whole": F.coalesce(F.col("_pk").isin("ARRAY<BIGINT>", "ARRAY<VOID>"), F.lit(False)),
+            "_list": F.coalesce(F.col("_pk").startswith("ARRAY"), F.lit(False)),
+        }
+    )
+    ready = typed.withColumns({"_pages": F.when(F.col("_whole"), F.try_variant_get("_p", "$", "array<bigint>")), "_bare": F.regexp_replace(text(F.col("_answer")), r"(?U)^\s+|\s+$", "")})
+    answer, pages, bare, is_list = F.col("_answer"), F.col("_pages"), F.col("_bare"), F.col("_list")
     refusal = answer == UNANSWERABLE
     both = answer.isNotNull() & is_list
-    empty = F.size(F.coalesce(pages, F.array(F.lit(0).cast("bigint")))) == 0
-    return F.when(v.isNull(), F.array(F.lit("invalid_json"))).when(~is_object, F.array(F.lit("wrong_object_type"))).otherwise(
+    empty = is_list & (F.coalesce(F.size(pages), F.lit(1)) == 0)
+    found = F.when(F.col("_v").isNull(), F.array(F.lit("invalid_json"))).when(~F.col("_kind").startswith("OBJECT"), F.array(F.lit("wrong_object_type"))).otherwise(
         codes(
-            rule(keys != F.array(F.lit("answer_pre"), F.lit("evidence_pages")), "wrong_fields"),
+            rule(F.array_sort(F.map_keys("_keys")) != F.array(F.lit("answer_pre"), F.lit("evidence_pages")), "wrong_fields"),
             rule(answer.isNull(), "answer_type"),
             rule(answer.isNotNull() & (bare == ""), "empty_answer"),
             rule(~is_list, "pages_type"),
-            rule(is_list & ~F.coalesce(whole, F.lit(False)), "page_type"),
+            rule(is_list & ~F.col("_whole"), "page_type"),
             rule(F.exists(pages, lambda p: p <= 0), "page_nonpositive"),
             rule(F.exists(pages, lambda p: p > page_count), "page_out_of_range"),
             rule(both & refusal & ~empty, "refusal_with_pages"),
@@ -64,6 +65,7 @@ def prediction_codes(raw: Column, page_count: Column) -> Column:
             rule((~refusal & (F.lower(bare) == UNANSWERABLE.lower())) | answer.isin(*NONCANONICAL), "noncanonical_refusal"),
         )
     )
+    return ready.withColumn(out, found).drop(*[c for c in ready.columns if c.startswith("_") and c not in df.columns])
 
 
 def prediction_rules(answer: Column, pages: Column, maximum: int, allowed: Column) -> Column:

@@ -72,7 +72,8 @@ def test_match_two_level_drops_ambiguous(spark):
     ],
 )
 def test_prediction_codes(spark, raw, want):
-    assert one(spark, contracts.prediction_codes(F.lit(raw), F.lit(5))) == want
+    df = spark.createDataFrame([(raw,)], "raw string")
+    assert contracts.with_prediction_codes(df, "raw", F.lit(5)).first().codes == want
 
 
 @pytest.mark.parametrize("said,label", [("INCORRECT", "wrong"), ("It is Correct.", "correct"), ("partial, CORRECT", "partial"), ("hm", None), (None, None)])
