@@ -66,8 +66,11 @@ def pair_shares(rows: DataFrame, pairs: dict[str, Column]) -> DataFrame:
 
 
 def count_codes(rows: DataFrame, codes: Column, name: str = "code") -> DataFrame:
-    """Rows for each of the rule codes that they carry."""
-    return rows.select(F.explode(codes).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+    """Rows for each of the rule codes that they carry.
+
+    The outer form keeps the optimizer from adding a filter on the array, which would evaluate every rule twice.
+    """
+    return rows.select(F.explode_outer(codes).alias(name)).where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
 
 
 def stage_rollup(stages: DataFrame, task: str, order: str, progress: str, status: str) -> DataFrame:

@@ -110,4 +110,4 @@ def secret_locations(docs: DataFrame, key: str, body: str) -> DataFrame:
     """(key, line, kind) of secret-like strings: places only, never the strings."""
     lines = docs.select(key, F.posexplode(F.split(text(F.col(body)), "\n")).alias("at", "line"))
     kinds = codes(*[rule(F.col("line").rlike(p), name) for name, p in SECRETS])
-    return lines.select(key, (F.col("at") + 1).alias("line_number"), F.explode(kinds).alias("kind"))
+    return lines.select(key, (F.col("at") + 1).alias("line_number"), F.explode_outer(kinds).alias("kind")).where("kind is not null")

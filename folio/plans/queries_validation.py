@@ -24,7 +24,7 @@ select code, count(*) n from c group by code""")
 def contract_rule_codes(t: Tables) -> DataFrame:
     from folio.operators.aggregates import count_codes
 
-    rows = t.lineitem.select("l_orderkey", "l_linenumber").repartition("l_orderkey").select("*", F.expr(OUTPUT).alias("raw"))  # parsing is the cost, the fixture is one file
+    rows = t.lineitem.select("l_orderkey", "l_linenumber").select("*", F.expr(OUTPUT).alias("raw"))
     return count_codes(contracts.with_prediction_codes(rows, "raw", F.lit(5)), F.col("codes"))
 
 
