@@ -32,4 +32,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import queries_lineage, queries_ranking, queries_review, queries_scoring, queries_text, queries_validation  # noqa: E402, F401
+from . import queries_curation, queries_lineage, queries_ranking, queries_review, queries_scoring, queries_text, queries_validation  # noqa: E402, F401
