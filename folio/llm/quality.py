@@ -20,6 +20,8 @@ from .words import IS_SEPARATOR, U, _power_tables, mix
 BUCKETS, TARGET_ROWS = 10_000, 20_000
 #: Bins of one step of the search for the k-th largest key, and rows that may be read to end it.
 BINS, LAST_ROWS = 4096, 10_000
+#: Bigram of any word followed by itself: what they have in common tells more than which word it is.
+REPEAT = U(0x5EED)
 
 KINDS = np.full(256, 2, np.uint8)  # 0 separates, 1 word, 2 punctuation
 KINDS[IS_SEPARATOR] = 0
@@ -44,7 +46,7 @@ def ngram_buckets(texts: pa.Array):
         one = mix((sums[ends] - sums[starts]) * inverses[starts])
         doc = np.searchsorted(bounds, starts, "right") - 1
         same = doc[1:] == doc[:-1]
-        two = mix(one[:-1] * U(3) + one[1:])[same]
+        two = np.where(one[:-1] == one[1:], REPEAT, mix(one[:-1] * U(3) + one[1:]))[same]
         grams = np.concatenate([one, two]) % U(BUCKETS)
         yield docs, grams.astype(np.int64), np.concatenate([doc, doc[:-1][same]])
 
