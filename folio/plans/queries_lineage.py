@@ -29,11 +29,11 @@ def bundle_manifest(t: Tables) -> DataFrame:
 
 
 @query("""with w as (select p_brand bundle, p_partkey, (sum(p_size) over x - p_size + 1)::bigint s, (sum(p_size) over x)::bigint e from part window x as (partition by p_brand order by p_partkey rows unbounded preceding)),
-i as (select p_brand bundle, p_partkey item, unnest([1, 1 + p_partkey % 200]) p from part)
+i as (select p_brand bundle, p_partkey item, unnest([1, 1 + p_partkey % 10]) p from part)
 select i.bundle, item, count(distinct w.p_partkey) n_documents from i join w on w.bundle = i.bundle and p between s and e group by 1, 2""")
 def documents_of_pages(t: Tables) -> DataFrame:
     plan = lineage.source_rows(lineage.bundle_plan(t.part.select(F.col("p_brand").alias("bundle"), "p_partkey", "p_size"), "bundle", "p_partkey", "p_size"), "bundle")
-    items = t.part.select(F.col("p_brand").alias("bundle"), F.col("p_partkey").alias("item"), F.array_distinct(F.array(F.lit(1).cast("long"), 1 + F.col("p_partkey") % 200)).alias("pages"))
+    items = t.part.select(F.col("p_brand").alias("bundle"), F.col("p_partkey").alias("item"), F.array_distinct(F.array(F.lit(1).cast("long"), 1 + F.col("p_partkey") % 10)).alias("pages"))
     out = lineage.documents_of_pages(items, plan, "item", "bundle", "pages", "merged_start_page", "merged_end_page", "paper_id")
     return out.select("bundle", "item", F.size("documents").cast("long").alias("n_documents"))
 
