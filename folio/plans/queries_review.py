@@ -98,3 +98,13 @@ def list_accounts(t: Tables) -> DataFrame:
 @query("select time_bucket(interval '1 hour', ts)::varchar as hour, event_type, count(*) n from (select distinct on (event_id) * from events) group by 1, 2")
 def stream_hourly_counts(t: Tables) -> DataFrame:
     return heartbeats.hourly_counts_by_stream(t.spark, t.sf_dir)
+
+
+@query("""with f as (select user_id, max((ts, event_id)) filter (event_type = 'purchase') p, arg_max(event_type, (ts, event_id)) t from events group by 1),
+n as (select f.user_id, t, count(*) filter (event_type = 'error' and (p is null or (ts, event_id) > p))::int n from f join events e on e.user_id = f.user_id group by 1, 2)
+select user_id as unit, case when t = 'purchase' then 'complete' when n >= 3 then 'quarantined' when t = 'error' then 'retryable' else 'claimed' end as state, n as failures,
+  case when t = 'error' and n < 3 then least(300, pow(2, least(n, 8)))::double else 0.0::double end as wait from n""")
+def stream_lease_states(t: Tables) -> DataFrame:
+    from folio.streaming import leases
+
+    return leases.current(heartbeats.run_to_table(leases.lease_updates(heartbeats.read_events(t.spark, t.sf_dir)), "update"))
