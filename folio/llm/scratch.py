@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests on one machine) a fresh local folder."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not own:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folio-"))
+        own = spark.sparkContext.getCheckpointDir()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)  # a path without a store is in the default one
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(r"^file:/+", "file:///", store.makeQualified(path).toString()).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
