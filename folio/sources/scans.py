@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators.guards import bind_predictions, last_wins, require_unique
@@ -85,7 +85,7 @@ def read_ledger(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return last_wins(fields, keys, F.col("path"), F.col("place"))
 
 
-def escaped_json(c) -> DataFrame:
+def escaped_json(c: Column) -> Column:
     """Variant of JSON text whose backslashes were not escaped; broken text is null."""
     return F.try_parse_json(F.replace(c, F.lit("\\"), F.lit("\\\\")))
 
