@@ -16,7 +16,8 @@ from .test_jaccard import brute
 from .test_words import shingles
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("local", [1_000_000, 60, 0])
+def test_components_equal_union_find(spark, local):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(400, j) for j in range(401, 450)] + [(7, 7), (None, 3)]
     root = {}
@@ -31,7 +32,7 @@ def test_components_equal_union_find(spark):
         if a is not None and a != b:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    got = {r.id: r.root for r in star_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.root for r in star_components(spark.createDataFrame(edges, "a long, b long"), local_links=local).collect()}
     assert got == {x: find(x) for x in root}
     assert star_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
