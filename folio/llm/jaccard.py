@@ -335,7 +335,8 @@ def jaccard_components(df: DataFrame, key: str, text: str, k: int = 5, num: int
     )
     known = known.select("list", "id", "n", "rem", F.coalesce("comp", "id").alias("comp"), F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))).alias("dist"))
     split = known.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list")
-    rest = known.join(split, "list").groupBy("list").applyInArrow(_open_pairs(num, den), "a long, b long").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    # a stated number of partitions: comparing is the cost, which the sizes of the rows don't show
+    rest = known.join(split, "list").repartition(buckets, "list").groupBy("list").applyInArrow(_open_pairs(num, den), "a long, b long").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
     rest = possible(rest)
     more = scratch.materialize(verified(rest, sets_of(rest)).where(links).select("a", "b"), "more")
     over = more.select("a", "b").union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
