@@ -53,7 +53,7 @@ class Ranks:
         key = left << 32 | right
         known = self.stable.get(key)
         if known is None:
-            if len(self.stable) > 2_000_000:
+            if len(self.stable) > 600_000:
                 self.stable.clear()
             known = self.stable[key] = self._is_stable(left, right)
         return known

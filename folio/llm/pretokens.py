@@ -96,7 +96,7 @@ class WordCache:
     ``encode`` takes a list of matches not met before and returns their ids.
     """
 
-    def __init__(self, encode, most: int = 700_000, longest: int = 64):
+    def __init__(self, encode, most: int = 400_000, longest: int = 64):
         self.encode, self.most, self.longest, self.known = encode, most, longest, {}
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
