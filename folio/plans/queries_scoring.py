@@ -38,7 +38,7 @@ def agg_fixed_denominator(t: Tables) -> DataFrame:
     return scoring.fixed_denominator(scored(t), "task", 20000)
 
 
-@query(f"with {PAGES} select k as item, ep as precision, er as recall, ef as f1, ex as exact, xn as common from m")
+@query(f"with {PAGES} select k as item, ep as precision, er as recall, ef as f1, ex as exact, xn::int as common from m")
 def evidence_by_item(t: Tables) -> DataFrame:
     return scored(t).select(F.col("l_orderkey").alias("item"), "e.precision", "e.recall", "e.f1", "e.exact", "e.common")
 
