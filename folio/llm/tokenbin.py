@@ -60,7 +60,7 @@ def _worker(path: str, end_id: int) -> tuple[WordCache, str]:
         # a match is what the library's pre-tokenizer hands to its model, byte by byte as printable characters
         return [array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
 
-    return WordCache(encode), kind
+    return WordCache(encode, most=700_000), kind
 
 
 def _write(path: str | None, folder: str, end_id: int):
