@@ -2,7 +2,8 @@
 
 Equal vectors are one node. A neighbour graph starts from vectors that lie near one another in the order of random
 hyperplane codes, and is refined by joins of neighbours with neighbours' neighbours. Lists that are full of links are
-enlarged to their whole component, compared in blocks, so link counts are exact inside a component. Recall is audited
+enlarged to their whole component: the next round's lists hold nodes of other components only, and rounds go on while a
+list holds nothing but links. Components are compared in blocks, so link counts are exact inside one. Recall is audited
 by brute force for a fixed number of queries against all rows; what the audit finds is added, and rounds go on until it
 finds enough. Edges of at least the threshold in double precision are kept.
 """
@@ -10,6 +11,7 @@ finds enough. Edges of at least the threshold in double precision are kept.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import star_components
 
-#: Neighbours kept for each node while the graph is refined; links beyond a full list are counted in blocks.
+#: Neighbours of other components kept for each node while the graph is refined.
 LIST = 8
 #: Codes drawn for each round of the start, and rows of the sorted order that are compared with one another.
 TABLES, WINDOW = 8, 256
@@ -61,27 +63,27 @@ def _matrix(column) -> np.ndarray:
 
 
 def _codes(seed: int):
-    """(node, unit) to (dim, table, code, node, unit): the code of a table are the sides of 62 random hyperplanes."""
+    """(node, root, unit) to (dim, table, code, node, root, unit): the code of a table are the sides of 62 random hyperplanes."""
 
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            dims = np.array([len(x.as_buffer()) // 8 for x in batch.column(1)], int)
+            dims = np.array([len(x.as_buffer()) // 8 for x in batch.column(2)], int)
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(seed).standard_normal((dim, TABLES * 62))
-                sides = (_matrix(part.column(1)) @ planes[dim] > 0).reshape(len(part), TABLES, 62)
+                sides = (_matrix(part.column(2)) @ planes[dim] > 0).reshape(len(part), TABLES, 62)
                 codes = sides @ (1 << np.arange(61, -1, -1, dtype=np.int64))
                 for t in range(TABLES):
-                    yield pa.record_batch({"dim": pa.array(np.full(len(part), dim), pa.int32()), "table": pa.array(np.full(len(part), t), pa.int32()), "code": pa.array(codes[:, t], pa.int64()), "node": part.column(0), "unit": part.column(1)})
+                    yield pa.record_batch({"dim": pa.array(np.full(len(part), dim), pa.int32()), "table": pa.array(np.full(len(part), t), pa.int32()), "code": pa.array(codes[:, t], pa.int64()), "node": part.column(0), "root": part.column(1), "unit": part.column(2)})
 
     return run
 
 
-def _best(s: np.ndarray, rows: np.ndarray, cols: np.ndarray):
-    """The PROPOSED best columns of each row of ``s`` (itself excluded), as edges."""
-    s = np.where(rows[:, None] == cols[None], -2.0, s)
+def _best(s: np.ndarray, rows: np.ndarray, cols: np.ndarray, row_roots: np.ndarray, col_roots: np.ndarray):
+    """The PROPOSED best columns of each row of ``s`` (its own component excluded), as edges."""
+    s = np.where(row_roots[:, None] == col_roots[None], -2.0, s)
     k = min(PROPOSED, s.shape[1])
     at = np.argpartition(-s, k - 1, axis=1)[:, :k]
     u, v, w = np.repeat(rows, k), cols[at].ravel(), np.take_along_axis(s, at, axis=1).ravel()
@@ -96,7 +98,7 @@ def _edges(parts) -> pa.RecordBatch:
 
 def _windows(batches):
     """Rows in the order of their codes: each is compared with its window and the one before."""
-    held: tuple | None = None  # dim, table, nodes, matrix of the window before
+    held: tuple | None = None  # dim and table, nodes, roots, matrix of the window before
     for batch in batches:
         for lo in range(0, len(batch), WINDOW):
             part = batch.slice(lo, WINDOW)
@@ -105,27 +107,27 @@ def _windows(batches):
             cuts = np.flatnonzero((np.diff(dims) != 0) | (np.diff(tables) != 0)) + 1
             for rows in np.split(np.arange(len(part)), cuts):
                 own = part.slice(rows[0], len(rows))
-                nodes, x = own.column(3).to_numpy(), _matrix(own.column(4))
+                nodes, roots, x = own.column(3).to_numpy(), own.column(4).to_numpy(), _matrix(own.column(5))
                 key = (dims[rows[0]], tables[rows[0]])
-                cols, y = (np.concatenate([held[1], nodes]), np.concatenate([held[2], x])) if held and held[0] == key else (nodes, x)
+                cols, col_roots, y = (np.concatenate(c) for c in zip(held[1:], (nodes, roots, x), strict=True)) if held and held[0] == key else (nodes, roots, x)
                 s = x @ y.T
-                parts.append(_best(s, nodes, cols))
+                parts.append(_best(s, nodes, cols, roots, col_roots))
                 if len(cols) > len(nodes):
-                    parts.append(_best(s[:, : len(cols) - len(nodes)].T, held[1], nodes))
-                held = (key, nodes, x)
+                    parts.append(_best(s[:, : len(cols) - len(nodes)].T, held[1], nodes, held[2], roots))
+                held = (key, nodes, roots, x)
             yield _edges(parts)
 
 
 def _local_joins(table: pa.Table) -> pa.Table:
-    """Of a bucket of (center, chunk, node, unit): the best edges among the members that share a center."""
+    """Of a bucket of (center, chunk, node, root, unit): the best edges among the members that share a center."""
     table = table.sort_by([("center", "ascending"), ("chunk", "ascending"), ("node", "ascending")])
-    center, chunk, node = (table.column(c).to_numpy() for c in ("center", "chunk", "node"))
+    center, chunk, node, root = (table.column(c).to_numpy() for c in ("center", "chunk", "node", "root"))
     units = table.column("unit").combine_chunks()
     parts = []
     for rows in np.split(np.arange(len(node)), np.flatnonzero((np.diff(center) != 0) | (np.diff(chunk) != 0)) + 1):
         if len(rows) > 1:
             x = _matrix(units.slice(rows[0], len(rows)))
-            parts.append(_best(x @ x.T, node[rows], node[rows]))
+            parts.append(_best(x @ x.T, node[rows], node[rows], root[rows], root[rows]))
     return pa.Table.from_batches([_edges(parts)])
 
 
@@ -136,6 +138,12 @@ def best_lists(edges: DataFrame) -> DataFrame:
     return once.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LIST).drop("r")
 
 
+def outside(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """The edges of ``lists`` that lead to another component of ``members(node, root)``."""
+    ends = [members.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv"]
+    return lists.join(ends[0], "u").join(ends[1], "v").where("root_u <> root_v").select("u", "v", "s")
+
+
 def refine(lists: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     """One round of NN-descent: members of a node's forward and reverse list are compared with one another.
 
@@ -145,7 +153,7 @@ def refine(lists: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     many = members.groupBy("center").agg(F.count("*").alias("d")).where(F.col("d") > JOINED)
     chunk = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("d") / (JOINED // 2))), F.lit(0)).cast("int")
     dealt = members.join(many, "center", "left").select("center", chunk.alias("chunk"), "node")
-    full = dealt.join(nodes.select("node", "unit"), "node").withColumn("bucket", F.pmod(F.xxhash64("center", "chunk"), F.lit(buckets)))
+    full = dealt.join(nodes.select("node", "root", "unit"), "node").withColumn("bucket", F.pmod(F.xxhash64("center", "chunk"), F.lit(buckets)))
     found = full.groupBy("bucket").applyInArrow(lambda t: _local_joins(t), EDGE)
     return best_lists(lists.union(found))
 
@@ -230,23 +238,24 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = 0.9
     n = nodes.count()
     parts = max(spark.sparkContext.defaultParallelism, n * TABLES // 50_000)
     links = scratch.materialize(spark.createDataFrame([], "a long, b long"), "links")
-    lists = None
-    for round_ in range(MOST_ROUNDS):
-        coded = nodes.select("node", "unit").mapInArrow(_codes(seed + round_), "dim int, table int, code long, node long, unit binary")
+    members, lists = scratch.materialize(nodes.withColumn("root", F.col("node")), "members"), None
+    for round_ in itertools.count():
+        coded = members.select("node", "root", "unit").mapInArrow(_codes(seed + round_), "dim int, table int, code long, node long, root long, unit binary")
         ordered = coded.repartitionByRange(parts, "dim", "table", "code", "node").sortWithinPartitions("dim", "table", "code", "node")
         near = ordered.mapInArrow(_windows, EDGE)
-        lists = scratch.materialize(best_lists(near if lists is None else near.union(lists)), "neighbours")
-        lists = scratch.materialize(refine(lists, nodes, max(64, n * LIST // 8_000)), "neighbours")
+        lists = scratch.materialize(best_lists(near if lists is None else near.union(outside(lists, members))), "neighbours")
+        lists = scratch.materialize(refine(lists, members, max(64, n * LIST // 8_000)), "neighbours")
+        full = lists.groupBy("u").agg(F.min("s").alias("s")).where(F.col("s") >= threshold).limit(1).count()
         links = links.union(lists.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
         roots = star_components(links, "near")
         members = scratch.materialize(nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
         recall, missed = audit(members, threshold, AUDIT_QUERIES)
-        if recall == 1.0:
-            break
-        links = links.union(missed)
-        if recall >= TARGET_RECALL:
+        if recall < 1.0:
+            links = links.union(missed)
             roots = star_components(links, "near")
             members = scratch.materialize(nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+        # a list of links only may hide more; each such round joins components, so they end
+        if not full and (recall >= TARGET_RECALL or round_ + 1 >= MOST_ROUNDS):
             break
     together = members.join(members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1").select("root"), "root", "left_semi")
     counts = count_links(together.select("root", "node", "copies", "unit"), threshold)

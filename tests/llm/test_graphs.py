@@ -66,6 +66,24 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert (got[907].n_links, got[907].component_id) == (1, 906)
 
 
+def test_full_lists_hide_no_links(spark, monkeypatch):
+    """Two tight families, linked only with one another beyond their own kind: a list of any fixed length is too short."""
+    monkeypatch.setattr(neardup, "AUDIT_QUERIES", 0)
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = []
+    for _ in range(30):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        for center in (a, 0.95 * a + np.sqrt(1 - 0.95**2) * b):
+            x.append(unit(center + 0.004 * rng.standard_normal((20, 64))))
+    x = np.concatenate(x)
+    near = x @ x.T >= 0.9
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()}
+    assert [got[i].component_id for i in range(len(x))] == [i // 40 * 40 for i in range(len(x))]
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+
+
 def test_no_vectors(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
 
