@@ -4,8 +4,9 @@ Equal vectors are one node. A neighbour graph starts from vectors that lie near
 hyperplane codes, and is refined by joins of neighbours with neighbours' neighbours. Lists that are full of links are
 enlarged to their whole component: the next round's lists hold nodes of other components only, and rounds go on while a
 list holds nothing but links. Components are compared in blocks, so link counts are exact inside one. Recall is audited
-by brute force for a fixed number of queries against all rows; what the audit finds is added, and rounds go on until it
-finds enough. Edges of at least the threshold in double precision are kept.
+by brute force for queries against all rows, drawn anew from distinct components in each round; what the audit finds is
+added, and rounds go on until a fresh audit finds enough and a round's own joins have run dry. If they never do, the
+query fails. Edges of at least the threshold in double precision are kept.
 """
 
 from __future__ import annotations
@@ -192,10 +193,15 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return left.union(right).withColumn("place", place).groupBy("place").applyInArrow(_block_counts(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(members: DataFrame, threshold: float, queries: int) -> tuple[float, DataFrame]:
-    """Recall of "linked rows share a component" for a fixed number of queries against all rows, and the missed links."""
+def audit(members: DataFrame, threshold: float, queries: int, round_: int) -> tuple[float, DataFrame]:
+    """Mean recall of "linked rows share a component" over queries that have links, and the missed links.
+
+    The queries differ from round to round. Each is drawn from a component of its own, so a large group counts once.
+    """
     spark = members.sparkSession
-    picked = members.orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(queries).select("node", "root", "unit").collect()
+    drawn = members.groupBy("root").agg(F.min(F.struct(F.xxhash64(F.lit("audit"), F.lit(round_), "node").alias("h"), "node")).alias("q"))
+    drawn = drawn.orderBy("q").limit(queries).select("q.node")
+    picked = members.join(drawn, "node").select("node", "root", "unit").collect()
     shared = spark.sparkContext.broadcast([(r.node, r.root, bytes(r.unit)) for r in picked])
 
     def search(batches):
@@ -214,12 +220,15 @@ def audit(members: DataFrame, threshold: float, queries: int) -> tuple[float, Da
                 near = (np.stack(q) @ _matrix(part.column(2)).T >= threshold) & (qn[:, None] != node[None])
                 missed = near & (qr[:, None] != root[None])
                 a, b = np.nonzero(missed)
-                n = len(a) + 1  # the first row has the counts
-                yield pa.record_batch({"a": pa.array([None, *qn[a].tolist()], pa.int64()), "b": pa.array([None, *node[b].tolist()], pa.int64()), "true": pa.array([int(near.sum())] + [0] * (n - 1), pa.int64()), "missed": pa.array([len(a)] + [0] * (n - 1), pa.int64())})
+                some = near.any(axis=1)  # a query's counts are a row without b
+                true, lost = near.sum(axis=1)[some], missed.sum(axis=1)[some]
+                none = np.zeros(len(a), int)
+                yield pa.record_batch({"a": pa.array(np.concatenate([qn[some], qn[a]]), pa.int64()), "b": pa.array([None] * len(true) + node[b].tolist(), pa.int64()), "true": pa.array(np.concatenate([true, none]), pa.int64()), "missed": pa.array(np.concatenate([lost, none]), pa.int64())})
 
     found = scratch.materialize(members.select("node", "root", "unit").mapInArrow(search, "a long, b long, true long, missed long"), "audit")
-    true, missed = found.agg(F.sum("true"), F.sum("missed")).first()
-    return 1 - (missed or 0) / true if true else 1.0, found.where("a is not null").select("a", "b")
+    each = found.where("b is null").groupBy("a").agg((1 - F.sum("missed") / F.sum("true")).alias("recall"))
+    recall = each.agg(F.avg("recall")).first()[0]
+    return 1.0 if recall is None else recall, found.where("b is not null").select("a", "b")
 
 
 def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = 0.9, seed: int = 5) -> DataFrame:
@@ -238,6 +247,7 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = 0.9
     n = nodes.count()
     parts = max(spark.sparkContext.defaultParallelism, n * TABLES // 50_000)
     links = scratch.materialize(spark.createDataFrame([], "a long, b long"), "links")
+    left = n  # components before a round
     members, lists = scratch.materialize(nodes.withColumn("root", F.col("node")), "members"), None
     for round_ in itertools.count():
         coded = members.select("node", "root", "unit").mapInArrow(_codes(seed + round_), "dim int, table int, code long, node long, root long, unit binary")
@@ -249,14 +259,20 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = 0.9
         links = links.union(lists.where(F.col("s") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
         roots = star_components(links, "near")
         members = scratch.materialize(nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
-        recall, missed = audit(members, threshold, AUDIT_QUERIES)
+        before, left = left, members.agg(F.count_distinct("root")).first()[0]
+        recall, missed = audit(members, threshold, AUDIT_QUERIES, round_)
         if recall < 1.0:
             links = links.union(missed)
             roots = star_components(links, "near")
             members = scratch.materialize(nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
         # a list of links only may hide more; each such round joins components, so they end
-        if not full and (recall >= TARGET_RECALL or round_ + 1 >= MOST_ROUNDS):
-            break
+        if not full:
+            dry = before - left <= (1 - TARGET_RECALL) * (n - left)
+            if recall >= TARGET_RECALL and dry:
+                break
+            if round_ + 1 >= MOST_ROUNDS:
+                raise RuntimeError(f"near duplicates: recall {recall:.4f} of a fresh audit and {before - left} of {n - left} joins new after {round_ + 1} rounds")
+        left = members.agg(F.count_distinct("root")).first()[0]
     together = members.join(members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1").select("root"), "root", "left_semi")
     counts = count_links(together.select("root", "node", "copies", "unit"), threshold)
     smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -84,6 +84,28 @@ def test_full_lists_hide_no_links(spark, monkeypatch):
     assert [got[i].n_links for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
 
 
+def test_audit_draws_anew_and_counts_a_group_once(spark):
+    turn = lambda d: np.array([np.cos(d), np.sin(d)])
+    at = lambda plane, d: np.concatenate([np.zeros(2 * plane), turn(d), np.zeros(2 * (7 - plane))])
+    rows = [(i, 0, at(0, i / 1000)) for i in range(60)]  # one joined group
+    rows += [(100 + 2 * p + i, 100 + 2 * p, at(p, i / 1000)) for p in range(1, 6) for i in range(2)]  # joined pairs
+    rows += [(200 + i, 200 + i, at(6, i / 1000)) for i in range(2)]  # a missed pair
+    members = spark.createDataFrame([(a, r, bytearray(x.tobytes())) for a, r, x in rows], "node long, root long, unit binary")
+    recall, missed = neardup.audit(members, 0.9, 200, 0)
+    assert recall == pytest.approx(6 / 8)
+    assert sorted(map(tuple, missed.collect())) == [(200, 201), (201, 200)]
+    alone = spark.range(400).select(F.col("id").alias("node"), F.col("id").alias("root"), F.lit(bytearray(turn(0).tobytes())).alias("unit"))
+    drawn = [{r.a for r in neardup.audit(alone, 0.9, 10, i)[1].collect()} for i in range(2)]
+    assert len(drawn[0]) == len(drawn[1]) == 10 and drawn[0] != drawn[1]
+
+
+def test_rounds_that_never_reach_the_target_fail(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "audit", lambda members, *_: (0.5, members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)))
+    df = spark.createDataFrame([(i, [float(i == j) for j in range(6)]) for i in range(6)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall 0.5"):
+        neardup.near_duplicates(df, "vec_id", "embedding").collect()
+
+
 def test_no_vectors(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
 
