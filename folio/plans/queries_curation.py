@@ -109,7 +109,7 @@ def cohort_union(t: Tables) -> DataFrame:
 
 @query()
 def accept_distinct(t: Tables) -> DataFrame:
-    return curation.accept_distinct(t.documents.where("n_chars < 400").select("doc_id", "text"), "doc_id", "text", F.col("doc_id")).select("doc_id")
+    return curation.accept_distinct(t.documents.select("doc_id", "text"), "doc_id", "text", F.col("doc_id")).select("doc_id")
 
 
 @query()

@@ -156,14 +156,13 @@ def near_dup_jaccard(t: Tables) -> DataFrame:
 
 @query()
 def near_dup_ratio(t: Tables) -> DataFrame:
-    return graph.ratio_pairs(t.documents.where("n_chars < 400"), "doc_id", "text", 0.88)
+    return graph.ratio_pairs(t.documents, "doc_id", "text", 0.88)
 
 
 @query()
 def keep_first_questions(t: Tables) -> DataFrame:
-    short = t.documents.where("n_chars < 400").select("doc_id", "text", "n_chars")
-    pairs = graph.near_duplicate_questions(short, "doc_id", "text").select("a", "b")
-    return graph.keep_first(short.select("doc_id", "n_chars"), pairs, "doc_id", F.col("n_chars"))
+    pairs = graph.near_duplicate_questions(t.documents, "doc_id", "text").select("a", "b")
+    return graph.keep_first(t.documents.select("doc_id", "n_chars"), pairs, "doc_id", F.col("n_chars"))
 
 
 @query()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import curation, lineage
+from folio.plans import registry
 
 
 def test_dangling_source_fails(spark):
@@ -44,6 +45,17 @@ def test_balanced_pick_alternates(spark):
     assert curation.balanced_pick(df, "k", "kind", "bundle", 4, 1) == [1, 4, 3, 6]
 
 
+def test_long_documents_are_compared(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(reversed([f"x{w}" for w in words]))), (4, "short one")]
+    spark.createDataFrame([(i, x, len(x)) for i, x in docs], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: registry.QUERIES[name](spark, str(tmp_path)).collect() for name in ("near_dup_ratio", "keep_first_questions", "accept_distinct")}
+    assert [(r.a, r.b) for r in got["near_dup_ratio"]] == [(2, 1)]
+    assert sorted(r.doc_id for r in got["keep_first_questions"]) == [1, 3, 4]
+    assert sorted(r.doc_id for r in got["accept_distinct"]) == [1, 3, 4]
+
+
 def test_attempts(spark):
     sha = F.sha2(F.lit("r"), 256)
     log = lambda *xs: F.array(*[F.struct(F.lit(n).alias("number"), F.lit("r").alias("raw"), sha.alias("sha256"), F.lit(ok).alias("legal")) for n, ok in xs])
