@@ -114,5 +114,5 @@ def accept_distinct(t: Tables) -> DataFrame:
 
 @query()
 def balanced_pick(t: Tables) -> DataFrame:
-    picked = curation.balanced_pick(t.orders.where("o_orderkey < 4000").select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderkey", "o_orderpriority", "o_custkey", 60, 1)
+    picked = curation.balanced_pick(t.orders.select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderkey", "o_orderpriority", "o_custkey", 60, 1)
     return t.spark.createDataFrame([(k,) for k in picked], "o_orderkey long")

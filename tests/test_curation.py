@@ -56,6 +56,13 @@ def test_long_documents_are_compared(spark, tmp_path):
     assert sorted(r.doc_id for r in got["accept_distinct"]) == [1, 3, 4]
 
 
+def test_balanced_pick_reads_all_orders(spark, tmp_path):
+    rows = [(k, "ab"[k % 2], k) for k in (3998, 3999, 4000, 4001)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.QUERIES["balanced_pick"](spark, str(tmp_path)).collect()
+    assert sorted(r.o_orderkey for r in got) == [3998, 3999, 4000, 4001]
+
+
 def test_attempts(spark):
     sha = F.sha2(F.lit("r"), 256)
     log = lambda *xs: F.array(*[F.struct(F.lit(n).alias("number"), F.lit("r").alias("raw"), sha.alias("sha256"), F.lit(ok).alias("legal")) for n, ok in xs])
