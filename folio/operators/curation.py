@@ -108,10 +108,13 @@ def remap_pages(rows: DataFrame, mapping: DataFrame, key: str, page: str) -> Dat
 def balanced_pick(rows: DataFrame, key: str, kind: str, bundle: str, target: int, per_bundle: int) -> list:
     """Keys picked one by one, each time of the kind picked least so far, at most ``per_bundle`` of a bundle.
 
-    Sequential by definition; it reads, for each kind, one ranked stream and stops at the target.
+    Sequential by definition; it reads, for each kind, the rows that can matter. Of a kind and bundle these are the first
+    ``per_bundle``: when a later one's turn comes, the bundle is used up. Of a kind they are the first 2 * ``target``: at
+    most ``target`` rows are picked, and those refused lie in used-up bundles, which have at most ``target`` rows of it.
     """
     kinds = [r[0] for r in rows.select(kind).distinct().orderBy(kind).collect()]
-    queues = {k: rows.where(F.col(kind) == k).orderBy(key).limit(target * 4).collect() for k in kinds}
+    first = rows.withColumn("_r", F.row_number().over(W.partitionBy(kind, bundle).orderBy(key))).where(F.col("_r") <= per_bundle).drop("_r")
+    queues = {k: first.where(F.col(kind) == k).orderBy(key).limit(target * 2).collect() for k in kinds}
     counts, used, out = dict.fromkeys(kinds, 0), {}, []
     while len(out) < target and any(queues.values()):
         k = min((k for k in kinds if queues[k]), key=lambda x: (counts[x], x))

@@ -56,6 +56,23 @@ def test_long_documents_are_compared(spark, tmp_path):
     assert sorted(r.doc_id for r in got["accept_distinct"]) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("per_bundle", [1, 3])
+def test_balanced_pick_passes_a_hot_bundle(spark, per_bundle):
+    rng = random.Random(per_bundle)
+    rows = [(i, "a", 1) for i in range(300)] + [(i, rng.choice("ab"), rng.randrange(2, 90)) for i in range(300, 700)]
+    queues, counts, used, want = {k: [r for r in rows if r[1] == k] for k in "ab"}, {"a": 0, "b": 0}, {}, []
+    while len(want) < 60 and any(queues.values()):
+        k = min((k for k in "ab" if queues[k]), key=lambda x: (counts[x], x))
+        key, _, bundle = queues[k].pop(0)
+        if used.get(bundle, 0) < per_bundle:
+            want.append(key)
+            used[bundle] = used.get(bundle, 0) + 1
+            counts[k] += 1
+    df = spark.createDataFrame(rows, "k long, kind string, bundle long")
+    assert curation.balanced_pick(df, "k", "kind", "bundle", 60, per_bundle) == want
+    assert counts == {"a": 30, "b": 30}
+
+
 def test_balanced_pick_reads_all_orders(spark, tmp_path):
     rows = [(k, "ab"[k % 2], k) for k in (3998, 3999, 4000, 4001)]
     spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
