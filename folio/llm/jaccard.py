@@ -256,13 +256,13 @@ WANTED_BITS = 1 << 22
 
 def _wanted_bitmap(ids: DataFrame) -> np.ndarray:
     """Flags of the hash places that ``doc_id`` takes: a fixed size, whatever the number of ids."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS)) + 1  # Spark's buckets begin with 1; 0 has one of its own
     rows = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     flags = np.zeros(WANTED_BITS + 65536, bool)
     for r in rows:
         part = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").astype(bool)
-        lo = (r.bucket - 1) * 32768 + 1  # place 0 has bucket 0, places 1 to 32768 have bucket 1
-        flags[max(lo, 0) : lo + len(part)] |= part[max(-lo, 0) :]
+        lo = (r.bucket - 1) * 32768
+        flags[lo : lo + len(part)] |= part
     return flags
 
 

@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.support import SMALL
 
 from folio.llm import jaccard
@@ -81,3 +83,11 @@ def test_odd_rows(odd, none):
     assert by[0] == {(0, 0)} and by[2] == {(0, 2)} and by[8] == {(1, 8)}
     assert by[None] == {(0, None), (1, None)}
     assert jaccard.jaccard_components(none, "doc_id", "text").count() == 0
+
+
+def test_every_place_of_the_filter_is_flagged(spark):
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(jaccard.WANTED_BITS)).alias("p")
+    ids = spark.range(20_000_000).withColumnRenamed("id", "doc_id").where(place.isin(0, 1, 32767, 32768, 32769, jaccard.WANTED_BITS - 1)).cache()
+    want = {r.p for r in ids.select(place).collect()}
+    assert 0 in want
+    assert set(np.flatnonzero(jaccard._wanted_bitmap(ids)).tolist()) == want
