@@ -125,11 +125,11 @@ def _line_rows(texts) -> list[list[tuple[int, int]]]:
 
 
 def _compact(batches):
-    """(conv, turn, tie, role code, text) to the same with line classes instead of the text."""
+    """(conv, turn, tie, role code, text) to (conv, turn, tie, mark, told, kinds): ``told`` where the code is the mark."""
     for batch in batches:
         rows = _line_rows(batch.column(4).to_pylist())
         marks = [r[0][0] if c is None else c for r, c in zip(rows, batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.int32()), pa.array([[k for _, k in r] for r in rows], pa.list_(pa.int32()))], names=["conv", "turn", "tie", "mark", "kinds"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.int32()), batch.column(3).is_valid(), pa.array([[k for _, k in r] for r in rows], pa.list_(pa.int32()))], names=["conv", "turn", "tie", "mark", "told", "kinds"])
 
 
 def fit(rows: DataFrame) -> ChatModel:
@@ -152,7 +152,7 @@ def _segments(table: pa.Table, model: ChatModel):
     """Conversations of one partition in order: (conv, rows, emissions, row of each line)."""
     table = table.sort_by([("conv", "ascending"), ("turn", "ascending"), ("tie", "ascending")])
     conv = table.column("conv").to_numpy()
-    marks, kinds = table.column("mark").to_numpy(), table.column("kinds").to_pylist()
+    marks, told, kinds = table.column("mark").to_numpy(), table.column("told").to_numpy(), table.column("kinds").to_pylist()
     for rows in np.split(np.arange(len(conv)), np.flatnonzero(np.diff(conv) != 0) + 1):
         if not len(rows):
             continue
@@ -161,6 +161,7 @@ def _segments(table: pa.Table, model: ChatModel):
         emit = emissions(np.where(opens, marks[row], -1), np.array([k for i in rows for k in kinds[i]], int), model.kinds)
         emit[opens, 3:] = -np.inf  # a row is one turn
         emit[~opens, :3] = -np.inf
+        emit[:, :3][(opens & told[row])[:, None] & (marks[row][:, None] != np.arange(3))] = -np.inf  # a known role stays
         yield table, conv[rows[0]], rows, emit, row
 
 
@@ -239,7 +240,7 @@ def render(role: Column, text: Column) -> Column:
 def format_conversations(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """``record`` (the row as it was), ``found_role`` and ``rendered`` of every row of a table of turns.
 
-    The role column is the marker where it names a known speaker; else a marker at the text's start is, else the role is
+    The role column decides where it names a known speaker; else a marker at the text's start is, else the role is
     recovered. Rows of a conversation are chained by turn, ties and repeated rows by a hash of their content; a null
     conversation, turn or text counts as conversation -1, turn -1 and an empty text. No row is dropped. Columns of any
     name may be present. An empty table gives an empty result.
@@ -255,7 +256,7 @@ def format_conversations(df: DataFrame, conv: str, turn: str, role: str, text: s
         "turns",
     )
     told, said = F.col(f"record.`{role}`"), F.col(f"record.`{text}`")
-    lines = rows.select("conv", "turn", "tie", role_code(told).alias("code"), said.alias("text")).mapInArrow(_compact, "conv long, turn long, tie long, mark int, kinds array<int>")
+    lines = rows.select("conv", "turn", "tie", role_code(told).alias("code"), said.alias("text")).mapInArrow(_compact, "conv long, turn long, tie long, mark int, told boolean, kinds array<int>")
     n = max(1, rows.count() // RANGE_ROWS)
     compact = scratch.materialize(lines.repartitionByRange(n, "conv", "turn", "tie").withColumn("part", F.spark_partition_id()), "lines")
     model = fit(compact)

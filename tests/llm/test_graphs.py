@@ -128,6 +128,13 @@ def test_partitions_decode_alike(spark, monkeypatch):
         assert found[0] == found[1]
 
 
+def test_known_roles_stay_in_rare_orders(spark):
+    usual, rare = ["system", "user", "assistant"], [["user", "user", "assistant"], ["user", "assistant", "assistant", "user"]]
+    rows = [(c, i, r, "so it is.") for c, rs in enumerate([usual] * 2000 + rare) for i, r in enumerate(rs)]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "conv_id", "turn", "role", "text").where("record.role <> found_role")
+    assert got.count() == 0
+
+
 def test_hidden_roles_are_recovered(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     hidden = df.withColumn("told", F.when(F.xxhash64("conv_id", "turn") % 2 == 0, F.col("role")))
