@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .toxicity import _chunks
-from .words import IS_SEPARATOR, U, _power_tables, mix
+from .words import IS_SEPARATOR, U, byte_values, mix, prefix_sums
 
 #: Buckets of hashed n-grams, and labelled rows that the target model is fitted on, at most.
 BUCKETS, TARGET_ROWS = 10_000, 20_000
@@ -23,6 +23,8 @@ BINS, LAST_ROWS = 4096, 10_000
 #: Bigram of any word followed by itself: what they have in common tells more than which word it is.
 REPEAT = U(0x5EED)
 
+VALUES = byte_values(np.arange(256))
+
 KINDS = np.full(256, 2, np.uint8)  # 0 separates, 1 word, 2 punctuation
 KINDS[IS_SEPARATOR] = 0
 KINDS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -41,9 +43,8 @@ def ngram_buckets(texts: pa.Array):
         ends = np.append(runs[1:], len(buf))
         real = kinds[runs] > 0 if len(runs) else np.zeros(0, bool)
         starts, ends = runs[real], ends[real]
-        powers, inverses = _power_tables(len(buf) + 1)
-        sums = np.concatenate([np.zeros(1, U), np.cumsum((buf.astype(U) + U(1)) * powers[: len(buf)])])
-        one = mix((sums[ends] - sums[starts]) * inverses[starts])
+        sums = prefix_sums(buf, starts, VALUES)
+        one = mix(sums[ends] - sums[starts])
         doc = np.searchsorted(bounds, starts, "right") - 1
         same = doc[1:] == doc[:-1]
         two = np.where(one[:-1] == one[1:], REPEAT, mix(one[:-1] * U(3) + one[1:]))[same]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .words import LOWER, U, _power_tables, mix, utf8_buffers
+from .words import LOWER, U, byte_values, mix, prefix_sums, utf8_buffers
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 30_000
@@ -30,6 +30,7 @@ CHUNK_BYTES = 1 << 18
 FOLD = LOWER.copy()  # digits and signs that stand for letters
 for _a, _b in zip(b"013457@$", b"oieastas", strict=True):
     FOLD[_a] = _b
+FOLD_VALUES = byte_values(FOLD)
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), ord("@"), ord("$"), *range(128, 256)]] = True
 LETTER = np.zeros(256, bool)
@@ -67,22 +68,18 @@ class _Words:
         at = at[at > 0] - 1
         last[at] |= inside[at]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.powers, self.inverses = _power_tables(len(buf) + 1)
-        self.sums = np.empty(len(buf) + 1, U)
-        self.sums[0] = 0
-        np.cumsum((FOLD[buf].astype(U) + U(1)) * self.powers[: len(buf)], out=self.sums[1:])
-        self.base = self.inverses[self.starts]
+        self.sums = prefix_sums(buf, self.starts, FOLD_VALUES)
         self.full = self._part(self.ends, 0)
 
     def _part(self, ends: np.ndarray, kind: int) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[self.starts]) * self.base + U(kind))
+        return mix(self.sums[ends] - self.sums[self.starts] + U(kind))
 
     def stems(self):
         """(which words, hashes) for each length of stem."""
         length = self.ends - self.starts
         for k in STEMS:
             which = np.flatnonzero(length > k)
-            yield which, mix((self.sums[self.starts[which] + k] - self.sums[self.starts[which]]) * self.base[which] + U(k))
+            yield which, mix(self.sums[self.starts[which] + k] - self.sums[self.starts[which]] + U(k))
 
 
 def _chunks(texts: pa.Array):
@@ -291,13 +288,17 @@ def _entry_counts(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled rows outside the held-out fold, the first in the order of a hash of the key."""
+    """Fit on at most ``rows`` labelled rows outside the held-out fold, the first in the order of a hash of the key.
+
+    Of rows with one key the least text counts, so a repeated key is one row of the sample.
+    """
     spark = docs.sparkSession
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
     order = F.xxhash64(F.lit("toxicity"), "id")
     sample = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(order, "id").limit(rows)
     texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    picked = scratch.materialize(texts.join(F.broadcast(sample), "id").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(10))), "labelled")
+    one_each = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    picked = scratch.materialize(one_each.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(10))), "labelled")
     counts = picked.where("part < 5").select("text", "y").mapInArrow(_entry_counts, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= LEAST_ROWS)
     n1, n0 = picked.where("part < 5").agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     n1, n0 = n1 or 0, n0 or 0

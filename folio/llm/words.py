@@ -1,7 +1,9 @@
 """Vectorised word and shingle hashes over the UTF-8 bytes of Arrow string columns.
 
 Words are runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased; as the separators are ASCII, bytes give the
-same words as characters do. Hashes have 64 bits: a polynomial over the word's bytes, mixed by a finalizer.
+same words as characters do. Hashes have 64 bits: a sum over the word's bytes of a fixed random value of the byte times a
+fixed random odd multiplier of its place, mixed by a finalizer. (A polynomial modulo 2 ** 64 would give long words of
+opposite Thue-Morse order one hash.)
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
-BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes worked on at once; a chunk ends with a document, a longer document is cut between words.
 CHUNK_BYTES = 1 << 18
 
@@ -22,18 +23,6 @@ IS_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = np.ones(1, U)
-_inverses = np.ones(1, U)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        _powers = np.concatenate([np.ones(1, U), np.cumprod(np.full(size - 1, BASE, U))])
-        _inverses = np.concatenate([np.ones(1, U), np.cumprod(np.full(size - 1, BASE_INVERSE, U))])
-    return _powers, _inverses
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finalizer."""
@@ -45,6 +34,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_places = np.zeros(0, U)
+
+
+def _place_multipliers(n: int) -> np.ndarray:
+    global _places
+    if len(_places) < n:
+        _places = mix((np.arange(max(n, 4096), dtype=U) + U(1 << 32)) * BASE) | U(1)
+    return _places
+
+
+def byte_values(fold: np.ndarray) -> np.ndarray:
+    """A fixed random value for each byte, equal for bytes that ``fold`` makes equal."""
+    return mix((fold.astype(U) + U(1)) * BASE)
+
+
+def prefix_sums(buf: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``len + 1`` sums whose difference over a word, which begins at one of ``starts``, is the word's hash before mixing."""
+    sums = np.zeros(len(buf) + 1, U)
+    if len(starts):
+        # places count on through the separators after a word, which no word sums up
+        bounds = np.concatenate([[0], starts, [len(buf)]])
+        place = np.arange(len(buf)) - np.repeat(bounds[:-1], np.diff(bounds))
+        np.cumsum(values[buf] * _place_multipliers(int(place.max()) + 1)[place], out=sums[1:])
+    return sums
+
+
 def utf8_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes and the ``len + 1`` offsets of a string array; a null is an empty text."""
     if pa.types.is_large_string(texts.type) or pa.types.is_string(texts.type):
@@ -59,6 +74,9 @@ def utf8_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+WORD_VALUES = byte_values(LOWER)
+
+
 def _hash_words(buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first and past-the-end positions of the words; no word spans a position in ``doc_starts``."""
     inside = ~IS_SEPARATOR[buf]
@@ -71,11 +89,8 @@ def _hash_words(buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np
     before = at_start[at_start > 0] - 1
     last[before] |= inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    powers, inverses = _power_tables(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, U)
-    sums[0] = 0
-    np.cumsum((LOWER[buf].astype(U) + U(1)) * powers[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts]), starts, ends
+    sums = prefix_sums(buf, starts, WORD_VALUES)
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(U)), starts, ends
 
 
 def iter_word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

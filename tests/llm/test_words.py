@@ -41,3 +41,15 @@ def _split(hashes, sizes):
 def test_sets_are_distinct_and_sorted():
     a, b = document_sets(pa.array(["a b c d e a b c d e", None]), 5)
     assert len(a) == 5 and (a[1:] > a[:-1]).all() and len(b) == 0
+
+
+@pytest.mark.parametrize("n", [1 << 10, 1 << 12, 1 << 16])
+def test_words_of_opposite_order_differ(n):
+    """Thue-Morse words, which have one polynomial hash modulo 2 ** 64 whatever its base."""
+    x, y = "a", "b"
+    while len(x) < n:
+        x, y = x + y, y + x
+    a, b, again = (next(words.iter_word_hashes(pa.array([t])))[2].tolist() for t in (x, y, x))
+    assert a == again and a != b
+    both = document_sets(pa.array([f"{x} one two three four", f"{y} one two three four"]), 5)
+    assert len({s.tobytes() for s in both}) == 2
