@@ -3,10 +3,11 @@
 1. A count sketch over all shingles orders them, common ones last; any order is exact, this one keeps index lists short.
 2. Every distinct set posts the prefix that any partner must meet, as (shingle, set, size, position) packed in binary
    blocks, dealt by shingle.
-3. Each index list is sorted by size and cut into blocks; a block is skipped when its best position cannot reach the
-   overlap needed. A list first pairs its members with one pivot only. Their verified overlaps are computed answers: the
-   others of a list follow from them where they join one component, and the triangle inequality of the Jaccard distance
-   rules out more. Only what is left is compared.
+3. A list first pairs its members with one pivot only: the member with the fewest shingles before the shared one, which
+   the others of a near-copy group are edits of. The verified overlaps are computed answers: the others of a list follow
+   from them where they join one component, and the triangle inequality of the Jaccard distance rules out more. Lists
+   that are not one component then are cut into blocks by size; a block is skipped when its best position cannot reach
+   the overlap needed, and only what is left is compared. A long list is dealt as pairs of parts.
 4. Candidates whose parity bitmaps differ in more bits than a link allows are ruled out; the rest are verified on whole
    sets, and links become components.
 """
@@ -29,6 +30,8 @@ POSTING = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 SKETCH_BLOCK = 4096
 FLUSH_POSTINGS = 300_000
 SKIP_BLOCK = 64
+#: Members of an index list that one comparison holds from either side.
+LIST_PART = 2048
 SEEN_SETS = 500_000
 
 
@@ -187,7 +190,7 @@ def _may_link(na, ra, nb, rb, num: int, den: int):
 
 
 def _index_lists(num: int, den: int):
-    """A bucket's postings to star candidates (kind 0) and to its lists of three sets or more (kind 1)."""
+    """A bucket's postings to star candidates (kind 0) and to its lists of three sets or more, pivot in ``a`` (kind 1)."""
     schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("rems", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
@@ -201,9 +204,9 @@ def _index_lists(num: int, den: int):
         p, sizes = p[keep], sizes[sizes > 1]
         starts = np.cumsum(sizes) - sizes
         n, rem, ids = p["n"].astype(np.int64), (p["n"] - p["pos"]).astype(np.int64), p["id"]
-        pivot = np.repeat(starts, sizes)  # the smallest id: mostly the same set in all lists of a family
-        ok = (pivot != np.arange(len(p))) & _may_link(n[pivot], rem[pivot], n, rem, num, den)
-        pairs = np.unique(np.stack([ids[pivot][ok], ids[ok]], axis=1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
+        two = starts[sizes == 2]
+        two = two[_may_link(n[two], rem[two], n[two + 1], rem[two + 1], num, den)]
+        stars = [np.stack([ids[two], ids[two + 1]], axis=1)]
         lists: dict[bytes, list] = {}
         for s, m in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             key = hashlib.blake2b(ids[s : s + m].tobytes(), digest_size=16).digest()
@@ -211,24 +214,33 @@ def _index_lists(num: int, den: int):
                 np.maximum(lists[key][2], rem[s : s + m], out=lists[key][2])
             else:
                 lists[key] = [ids[s : s + m], n[s : s + m], rem[s : s + m].copy()]
+        pivots = []
+        for own, size, left in lists.values():
+            i = int(np.lexsort((own, size - left))[0])
+            other = _may_link(size[i], left[i], size, left, num, den) & (own != own[i])
+            stars.append(np.stack([np.minimum(own[other], own[i]), np.maximum(own[other], own[i])], axis=1))
+            pivots.append(own[i])
+        pairs = np.unique(np.concatenate(stars), axis=0)
         a, b = len(pairs), len(lists)
         wide = [pa.array([None] * a + [x[i] for x in lists.values()], pa.list_(pa.int64())) for i in range(3)]
-        return pa.Table.from_arrays([pa.array(np.repeat([0, 1], [a, b]), pa.int8()), pa.array([*pairs[:, 0], *[None] * b], pa.int64()), pa.array([*pairs[:, 1], *[None] * b], pa.int64()), *wide], schema=schema)
+        return pa.Table.from_arrays([pa.array(np.repeat([0, 1], [a, b]), pa.int8()), pa.array([*pairs[:, 0], *pivots], pa.int64()), pa.array([*pairs[:, 1], *[None] * b], pa.int64()), *wide], schema=schema)
 
     return run
 
 
 def _open_pairs(num: int, den: int):
-    """Pairs of a list that lie in different components and that positions and computed answers don't rule out."""
+    """Pairs of a list that lie in different components and that positions and computed answers don't rule out.
+
+    A table holds a whole list (lo = hi = 0), or parts ``lo`` and ``hi`` of one, which are compared with each other.
+    """
     limit = 1 - num / den + 1e-9
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n, rem, comp = (table.column(c).to_numpy() for c in ("id", "n", "rem", "comp"))
-        dist = table.column("dist").to_numpy()
-        out = []
+        ids, n, rem, comp, part, lo, hi = (table.column(c).to_numpy() for c in ("id", "n", "rem", "comp", "part", "lo", "hi"))
+        dist, across, out = table.column("dist").to_numpy(), lo[0] != hi[0], []
         if (comp != comp[0]).any():
             order = np.argsort(n, kind="stable")
-            ids, n, rem, comp, dist = ids[order], n[order], rem[order], comp[order], dist[order]
+            ids, n, rem, comp, part, dist = ids[order], n[order], rem[order], comp[order], part[order], dist[order]
             cuts = range(0, len(ids), SKIP_BLOCK)
             best = [rem[c : c + SKIP_BLOCK].max() for c in cuts]
             for i, c in enumerate(cuts):
@@ -241,6 +253,8 @@ def _open_pairs(num: int, den: int):
                     y = slice(d, d + SKIP_BLOCK)
                     ok = _may_link(n[x][:, None], rem[x][:, None], n[y][None], rem[y][None], num, den) & (comp[x][:, None] != comp[y][None])
                     ok &= ~(np.abs(dist[x][:, None] - dist[y][None]) > limit)  # NaN: unknown
+                    if across:  # pairs inside a part meet elsewhere
+                        ok &= part[x][:, None] != part[y][None]
                     u, v = np.nonzero(ok)
                     u, v = ids[x][u], ids[y][v]
                     out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
@@ -250,19 +264,18 @@ def _open_pairs(num: int, den: int):
     return run
 
 
-#: Bits of the filter on document ids that are read again; what it lets through is joined exactly afterwards.
-WANTED_BITS = 1 << 22
+#: Fewest and most flags of the filter on document ids that are read again, 32 for each id in between; what it lets
+#: through is joined exactly afterwards. The most take 16 MB.
+WANTED_BITS, MOST_WANTED_BITS = 1 << 22, 1 << 27
 
 
-def _wanted_bitmap(ids: DataFrame) -> np.ndarray:
-    """Flags of the hash places that ``doc_id`` takes: a fixed size, whatever the number of ids."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS)) + 1  # Spark's buckets begin with 1; 0 has one of its own
+def _wanted_bitmap(ids: DataFrame, places: int = WANTED_BITS) -> np.ndarray:
+    """Packed flags of the hash places that ``doc_id`` takes."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(places)) + 1  # Spark's buckets begin with 1; 0 has one of its own
     rows = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    flags = np.zeros(WANTED_BITS + 65536, bool)
+    flags = np.zeros(places // 8, np.uint8)
     for r in rows:
-        part = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").astype(bool)
-        lo = (r.bucket - 1) * 32768
-        flags[lo : lo + len(part)] |= part
+        flags[(r.bucket - 1) * 4096 :][: len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
     return flags
 
 
@@ -271,7 +284,8 @@ def _rebuild(k: int, flags):
 
     def run(batches):
         for batch in batches:
-            part = batch.filter(pa.array(flags.value[batch.column(0).to_numpy()]))
+            place = batch.column(0).to_numpy()
+            part = batch.filter(pa.array((flags.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             for lo in range(0, len(part), 256):
                 sets = [(set_key(s)[0], s) for s in document_sets(part.column(1).slice(lo, 256), k) if len(s)]
                 yield pa.record_batch({"id": pa.array([x[0] for x in sets], pa.int64()), "set": pa.array([x[1].view(np.int64) for x in sets], pa.list_(pa.int64()))})
@@ -307,7 +321,7 @@ def jaccard_components(df: DataFrame, key: str, text: str, k: int = 5, num: int
     index = scratch.materialize(
         docs.select("text").mapInArrow(_postings(shared, bits, k, num, den, buckets), "bucket int, block binary").groupBy("bucket").applyInArrow(_index_lists(num, den), "kind tinyint, a long, b long, ids array<long>, ns array<long>, rems array<long>"), "lists"
     )
-    lists = index.where("kind = 1").select(F.xxhash64("ids").alias("list"), F.array_min("ids").alias("pivot"), F.explode(F.arrays_zip("ids", "ns", "rems")).alias("m")).select("list", "pivot", F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.rems").alias("rem"))
+    lists = index.where("kind = 1").select(F.xxhash64("ids").alias("list"), F.col("a").alias("pivot"), F.explode(F.arrays_zip("ids", "ns", "rems")).alias("m")).select("list", "pivot", F.col("m.ids").alias("id"), F.col("m.ns").alias("n"), F.col("m.rems").alias("rem"))
     classes = keys.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     bitmaps = keys.where("bits is not null").groupBy("k1").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
 
@@ -317,10 +331,11 @@ def jaccard_components(df: DataFrame, key: str, text: str, k: int = 5, num: int
         return scratch.materialize(both.mapInArrow(_close_enough(num, den), "a long, b long"), "pairs")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        members = scratch.materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
         wanted = classes.join(members.withColumnRenamed("id", "k1"), "k1").select(F.col("first").alias("doc_id"))
-        flags = spark.sparkContext.broadcast(_wanted_bitmap(wanted))
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
+        places = int(np.clip(1 << (32 * members.count()).bit_length(), WANTED_BITS, MOST_WANTED_BITS))
+        flags = spark.sparkContext.broadcast(_wanted_bitmap(wanted, places))
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(places))
         found = docs.select(place, "text").mapInArrow(_rebuild(k, flags), "id long, set array<long>")
         return scratch.materialize(found.join(members, "id", "left_semi").groupBy("id").agg(F.first("set").alias("set")), "sets")
 
@@ -330,13 +345,16 @@ def jaccard_components(df: DataFrame, key: str, text: str, k: int = 5, num: int
     answers = scratch.materialize(verified(stars, sets), "answers")
     edges = answers.where(links).select("a", "b")
     roots = scratch.materialize(star_components(edges, "jaccard"), "roots")
-    known = lists.join(roots.withColumnRenamed("root", "comp"), "id", "left").join(
-        answers.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("common") / F.col("total")).alias("dist")), ["pivot", "id"], "left"
-    )
-    known = known.select("list", "id", "n", "rem", F.coalesce("comp", "id").alias("comp"), F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))).alias("dist"))
-    split = known.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list")
+    dist = (1 - F.col("common") / F.col("total")).alias("dist")
+    told = answers.select(F.col("a").alias("pivot"), F.col("b").alias("id"), dist).union(answers.select(F.col("b").alias("pivot"), F.col("a").alias("id"), dist))
+    known = lists.join(roots.withColumnRenamed("root", "comp"), "id", "left").join(told, ["pivot", "id"], "left")
+    known = known.select("list", "pivot", "id", "n", "rem", F.coalesce("comp", "id").alias("comp"), F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))).alias("dist"))
+    split = known.groupBy("list", "pivot").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.count("*") / LIST_PART).alias("parts")).where("least < most").drop("least", "most")
+    place = ["list", "pivot", "lo", "hi"]
+    dealt = known.join(split, ["list", "pivot"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("list", "pivot", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "n", "rem", "comp", "dist")
     # a stated number of partitions: comparing is the cost, which the sizes of the rows don't show
-    rest = known.join(split, "list").repartition(buckets, "list").groupBy("list").applyInArrow(_open_pairs(num, den), "a long, b long").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    rest = dealt.repartition(buckets, *place).groupBy(*place).applyInArrow(_open_pairs(num, den), "a long, b long").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
     rest = possible(rest)
     more = scratch.materialize(verified(rest, sets_of(rest)).where(links).select("a", "b"), "more")
     over = more.select("a", "b").union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))

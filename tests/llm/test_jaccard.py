@@ -58,9 +58,37 @@ def test_families_of_near_copies(spark, edits):
     assert got == brute(rows)
 
 
-def test_bitmaps_bound_the_difference():
-    import numpy as np
+@pytest.mark.parametrize("part", [2048, 64])
+def test_a_large_group_is_compared_through_its_pivot(spark, monkeypatch, part):
+    """Thousands of edits of one text, most of them not linked with one another: pairs grow with the group, not its square."""
+    monkeypatch.setattr(jaccard, "LIST_PART", part)
+    compare = jaccard._open_pairs(80, 100)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(2500):
+        copy = list(base)
+        for j in range(rng.choice([0, 1, 2, 2, 3, 3, 4, 5, 6])):
+            copy[rng.randrange(len(copy))] = f"e{i}x{j}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(num, den):
+        def run(table):
+            out = compare(table)
+            count.add(len(out))
+            return out
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_open_pairs", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, "doc_id", "text").collect()}
+    assert got == brute(rows)
+    assert count.value < 40 * len(rows)
+
 
+def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(3)
     for n in (3, 50, 700):
         a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
@@ -90,4 +118,4 @@ def test_every_place_of_the_filter_is_flagged(spark):
     ids = spark.range(20_000_000).withColumnRenamed("id", "doc_id").where(place.isin(0, 1, 32767, 32768, 32769, jaccard.WANTED_BITS - 1)).cache()
     want = {r.p for r in ids.select(place).collect()}
     assert 0 in want
-    assert set(np.flatnonzero(jaccard._wanted_bitmap(ids)).tolist()) == want
+    assert set(np.flatnonzero(np.unpackbits(jaccard._wanted_bitmap(ids), bitorder="little")).tolist()) == want
