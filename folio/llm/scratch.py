@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests on one machine) a fresh local folder."""
+    """The cluster's ``spark.checkpoint.dir``; only where it is unset and the master is local a fresh local folder."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folio-"))
         own = spark.sparkContext.getCheckpointDir()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)  # a path without a store is in the default one
@@ -20,8 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "file:///", store.makeQualified(path).toString()).rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/folio-scratch/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folio-scratch/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,5 +48,5 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete every intermediate table; results that still read them must have been written before."""
-    drop_path(spark, f"{shared_dir(spark)}/folio-scratch")
+    """Delete this application's intermediate tables; results that still read them must have been written before."""
+    drop_path(spark, run_dir(spark))
