@@ -2,13 +2,14 @@
 
 For every prefix of a piece there is exactly one token that ends the prefix's encoding. A token ends prefix ``i`` if it
 is a suffix of it and forms a stable pair with the last token of what comes before. Storing that token for each prefix
-gives the encoding by walking back, lets bytes be appended exactly, and after an edit only later prefixes are redone.
+gives the encoding by walking back, lets bytes be appended exactly, and after an edit only prefixes near it are redone.
 """
 
 from __future__ import annotations
 
 import array
 import base64
+import bisect
 import hashlib
 from functools import lru_cache
 
@@ -75,18 +76,20 @@ class Ranks:
 
     def last_tokens(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """The last token of every prefix; ``known`` has those of the first prefixes."""
-        rank, longest, stable = self.rank.get, self.longest, self.is_stable
         last = known or []
         for i in range(len(last) + 1, len(piece) + 1):
-            for j in range(max(0, i - longest), i):
-                token = rank(piece[j:i])
-                if token is not None and (j == 0 or stable(last[j - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks single bytes")
+            last.append(self.last_token(piece, i, last))
         return last
 
+    def last_token(self, piece: bytes, i: int, last: list[int]) -> int:
+        """The last token of the prefix of ``i`` bytes, given those of the shorter ones."""
+        rank, stable = self.rank.get, self.is_stable
+        for j in range(max(0, i - self.longest), i):
+            token = rank(piece[j:i])
+            if token is not None and (j == 0 or stable(last[j - 1], token)):
+                return token
+        raise ValueError("the vocabulary lacks single bytes")
+
     def walk(self, last: list[int]) -> list[int]:
         """The encoding that the last tokens of all prefixes spell."""
         out, i = [], len(last)
@@ -104,7 +107,7 @@ class Ranks:
 
 
 class PieceEncoding:
-    """A piece that can be appended to and edited; only prefixes that reach past the change are encoded again."""
+    """A piece that can be appended to and edited; only prefixes near the change are encoded again."""
 
     def __init__(self, ranks: Ranks, piece: bytes = b""):
         self.ranks, self.piece, self.last = ranks, piece, ranks.last_tokens(piece)
@@ -114,14 +117,67 @@ class PieceEncoding:
         self.last = self.ranks.last_tokens(self.piece, self.last)
 
     def replace(self, start: int, stop: int, new: bytes) -> None:
-        """Put ``new`` where ``piece[start:stop]`` was; prefixes up to ``start`` are kept."""
+        """Put ``new`` where ``piece[start:stop]`` was.
+
+        Prefixes up to ``start`` are kept. A prefix's last token depends on the bytes and last tokens of the ``longest``
+        prefixes before it; once so many in a row past the edit are what they were, all later ones are, too.
+        """
+        old, shift, same = self.last, len(new) - (min(stop, len(self.piece)) - start), 0
         self.piece = self.piece[:start] + new + self.piece[stop:]
-        self.last = self.ranks.last_tokens(self.piece, self.last[:start])
+        last = old[:start]
+        for i in range(start + 1, len(self.piece) + 1):
+            last.append(self.ranks.last_token(self.piece, i, last))
+            same = same + 1 if i > start + len(new) and old[i - shift - 1] == last[-1] else 0
+            if same >= self.ranks.longest:
+                last += old[i - shift :]
+                break
+        self.last = last
 
     def ids(self) -> list[int]:
         return self.ranks.walk(self.last)
 
 
+class TextEncoding:
+    """A text that can be appended to and edited; only the pattern's matches near the change are found and encoded again."""
+
+    def __init__(self, ranks: Ranks, text: str = ""):
+        import public_tokenizers
+        import regex
+
+        self.ranks, self.pattern, self.text = ranks, regex.compile(public_tokenizers.PATTERN), ""
+        self.starts: list[int] = []
+        self.parts: list[list[int]] = []
+        self.append(text)
+
+    def append(self, more: str) -> None:
+        self.replace(len(self.text), len(self.text), more)
+
+    def replace(self, start: int, stop: int, new: str) -> None:
+        """Put ``new`` where ``text[start:stop]`` was.
+
+        A match looks no further than one character past the run of white space it ends in, so matches from the third
+        one before the edit on are found anew, until one begins where an old match began behind the edit.
+        """
+        stop = min(stop, len(self.text))
+        shift = len(new) - (stop - start)
+        self.text = self.text[:start] + new + self.text[stop:]
+        first = max(0, bisect.bisect_right(self.starts, start) - 3)
+        begin = self.starts[first] if self.starts else 0
+        behind = {s + shift: i for i, s in enumerate(self.starts) if s >= stop}
+        starts, parts, rest = [], [], len(self.starts)
+        for m in self.pattern.finditer(self.text, begin):
+            if m.start() >= start + len(new) and m.start() in behind:
+                rest = behind[m.start()]
+                break
+            starts.append(m.start())
+            parts.append(self.ranks.encode_piece(m[0].encode()))
+        self.starts = self.starts[:first] + starts + [s + shift for s in self.starts[rest:]]
+        self.parts = self.parts[:first] + parts + self.parts[rest:]
+
+    def ids(self) -> list[int]:
+        return [x for part in self.parts for x in part]
+
+
 @lru_cache(2)
 def _worker(path: str) -> tuple[Ranks, WordCache]:
     ranks = Ranks(path)
