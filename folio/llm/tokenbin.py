@@ -8,6 +8,7 @@ partitions' bases are prefix sums over the manifest.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -45,13 +46,12 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(2)
-def _worker(path: str, end_id: int) -> tuple[WordCache, str]:
+def _worker(path: str, end_id: int):
+    """Ids of a list of texts, one bytes object each, and the kind of the integers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
     kind = "<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     code = "H" if kind == "<u2" else "I"
     letters, tokenize = byte_letters(), tokenizer.model.tokenize
@@ -60,14 +60,24 @@ def _worker(path: str, end_id: int) -> tuple[WordCache, str]:
         # a match is what the library's pre-tokenizer hands to its model, byte by byte as printable characters
         return [array(code, [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
 
-    return WordCache(encode, most=700_000), kind
+    words = WordCache(encode, most=700_000)
+    # the library finds the strings of added tokens in a text before it splits the rest
+    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(added) or r"(?!)")
+
+    def ids(texts: list[str]):
+        plain = words.ids([x for x in texts if not special.search(x)])
+        for x in texts:
+            yield array(code, tokenizer.encode(x, add_special_tokens=False).ids).tobytes() if special.search(x) else next(plain)
+
+    return ids, kind
 
 
 def _write(path: str | None, folder: str, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches):
-        words, kind = _worker(path or tokenizer_file(), end_id)
+        ids_of, kind = _worker(path or tokenizer_file(), end_id)
         width = np.dtype(kind).itemsize
         store, root = pafs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
@@ -82,7 +92,7 @@ def _write(path: str | None, folder: str, end_id: int):
                 docs = pa.ipc.new_file(sink, pa.schema([("doc_id", pa.int64())]))
             docs.write(pa.record_batch({"doc_id": batch.column(0).cast(pa.int64())}))
             for lo in range(0, len(batch), 256):
-                for raw in words.ids([x or "" for x in batch.column(1).slice(lo, 256).to_pylist()]):
+                for raw in ids_of([x or "" for x in batch.column(1).slice(lo, 256).to_pylist()]):
                     stream.write(raw + end)
                     offsets.append(offsets[-1] + len(raw) // width + 1)
         if stream is not None:
@@ -113,8 +123,10 @@ def mapped(store: pafs.FileSystem, path: str, dtype: str):
 def write_token_files(df: DataFrame, key: str, text: str, path: str | None = None, end_id: int = 2) -> tuple[str, DataFrame]:
     """Encode every whole text and write the files; returns their folder and the manifest with bases.
 
-    Ids are those of the tokenizers library without special tokens, then ``end_id`` for each document. As the pattern's
-    matches are encoded alone, a match met before in a worker is looked up (a bounded number). Documents lie in
+    Ids are those that the tokenizers library's ``encode`` gives with add_special_tokens=False, then ``end_id`` for each
+    document. A text that holds the string of an added token, such as an end mark, is encoded by that call, which makes
+    the string one id; of all others the pattern's matches are encoded alone, and a match met before in a worker is
+    looked up (a bounded number). Documents lie in
     ascending ``key`` order, nulls first; rows of one key are ordered by a hash of their text. A null text is empty and
     gives the end id only; repeated rows all stay; other columns are not read; an empty table writes no files.
     """

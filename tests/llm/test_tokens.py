@@ -72,7 +72,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -86,6 +85,45 @@ def test_files_contract(spark):
         start += len(raw)
 
 
+def test_special_strings_equal_the_library(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "<|endoftext", "plain", "", None, " <|endoftext|>\n\nit's"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokenbin.read_token_files(*tokenbin.write_token_files(df, "doc_id", "text")).collect()}
+    for i, ids in enumerate(library_ids(texts)):
+        assert got[i] == (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
+
+
+def test_edits_of_a_text_equal_encoding_anew(reference):
+    ranks, rng = bpe._worker(P.path("byte_bpe_50k.tiktoken"))[0], random.Random(5)
+    letters = list("abdeilnorst'      \n\t12é!?.") + ["'ll", "'s", "   ", " the"]
+    for _ in range(40):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 80)))
+        e = bpe.TextEncoding(ranks, text)
+        for _ in range(12):
+            a = rng.randint(0, len(text))
+            b = rng.randint(a, min(len(text), a + 6))
+            new = "".join(rng.choices(letters, k=rng.randint(0, 5)))
+            if rng.random() < 0.3:
+                e.append(new)
+                text += new
+            else:
+                e.replace(a, b, new)
+                text = text[:a] + new + text[b:]
+            assert e.text == text and e.ids() == reference.encode_ordinary(text)
+
+
+def test_an_edit_redoes_only_what_is_near(monkeypatch):
+    ranks = bpe._worker(P.path("byte_bpe_50k.tiktoken"))[0]
+    monkeypatch.setattr(ranks, "longest", max(map(len, ranks.rank)))
+    piece = "".join(random.Random(3).choices("abcdetionsth", k=5000)).encode()
+    e, done = bpe.PieceEncoding(ranks, piece), []
+    find = ranks.last_token
+    monkeypatch.setattr(ranks, "last_token", lambda p, i, last: done.append(i) or find(p, i, last))
+    e.replace(2000, 2003, b"re")
+    monkeypatch.undo()
+    assert len(done) < 400 and e.ids() == bpe.PieceEncoding(ranks, e.piece).ids()
+
+
 def test_bpe_contract(spark, reference):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in QUERIES["op10_byte_bpe"](spark, SMALL).collect():
