@@ -1,8 +1,8 @@
 """Chat formatting: a hidden Markov model over lines recovers speaker roles by Viterbi, then turns are rendered.
 
 States are (role, first line of a turn or a later one). A line's emission joins its speaker marker with its length, its
-end and its place; transitions and emissions are counted over all turns of known role. Conversations are chains over
-rows in turn order. Rows are dealt by ranges of (conversation, turn), so one conversation may span many partitions: each
+end and its place; transitions and emissions are counted over turns of known role. Conversations are chains over
+rows in turn order; a role column is optional. Rows are dealt by ranges of (conversation, turn), so one conversation may span many partitions: each
 partition sums up its border chains as (max, +) matrices, the driver joins these few matrices exactly, and every
 partition then decodes its rows between known border states.
 """
@@ -27,8 +27,10 @@ CLOSING = re.compile(r"<\|(?:im_end|end|eot_id)\|>\s*$")
 #: Chance that a speaker's marker is his own, at a turn's first line and later (quoted), and that there is none.
 OWN, QUOTED = 0.97, 0.002
 #: Rows of one range partition on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 100_000
 N_FEATURES = 24
+#: Conversations whose crc32 leaves another remainder than 0 by this number give the model of the registered query.
+FOLDS = 5
 
 
 def line_feature(line: str, place: int) -> int:
@@ -53,8 +55,9 @@ def emissions(marks: np.ndarray, kinds: np.ndarray, model: np.ndarray) -> np.nda
     own = marks[:, None] == np.arange(3)
     out[:, :3] = np.where(named[:, None], np.log(np.where(own, OWN, (1 - OWN) / 2)), np.log(0.05))
     out[:, 3:] = np.where(named, np.log(QUOTED), np.log(1 - 3 * QUOTED))[:, None]
-    f = model[:, np.maximum(kinds, 0)].T
-    return out + np.where((kinds >= 0)[:, None], np.concatenate([f, f], axis=1), 0.0)
+    known = np.maximum(kinds, 0)  # the last bit is the line's place in its turn
+    f = np.concatenate([model[:, known & ~1].T, model[:, known | 1].T], axis=1)
+    return out + np.where((kinds >= 0)[:, None], f, 0.0)
 
 
 def transitions(start: np.ndarray, follow: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray]:
@@ -124,22 +127,30 @@ def _line_rows(texts) -> list[list[tuple[int, int]]]:
     return out
 
 
+#: Place of a row: conversation, whether the turn has a number, the number, and the row's own.
+PLACE = ["conv", "numbered", "turn", "tie"]
+
+
 def _compact(batches):
-    """(conv, turn, tie, role code, text) to (conv, turn, tie, mark, told, kinds): ``told`` where the code is the mark."""
+    """(place, role code, text) to (place, mark, told, kinds): ``told`` where the code is the mark."""
     for batch in batches:
-        rows = _line_rows(batch.column(4).to_pylist())
-        marks = [r[0][0] if c is None else c for r, c in zip(rows, batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.int32()), batch.column(3).is_valid(), pa.array([[k for _, k in r] for r in rows], pa.list_(pa.int32()))], names=["conv", "turn", "tie", "mark", "told", "kinds"])
+        rows = _line_rows(batch.column(5).to_pylist())
+        marks = [r[0][0] if c is None else c for r, c in zip(rows, batch.column(4).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(marks, pa.int32()), batch.column(4).is_valid(), pa.array([[k for _, k in r] for r in rows], pa.list_(pa.int32()))], names=[*PLACE, "mark", "told", "kinds"])
 
 
 def fit(rows: DataFrame) -> ChatModel:
-    """Counts over all rows (conv, turn, code, kinds): a next role is that of the next turn number."""
+    """Counts over rows (conv, numbered, turn, mark, kinds) of a known mark: a next role is that of the next turn number.
+
+    Repeated rows of a turn count once for each role in starts and successions.
+    """
     known = rows.where("mark >= 0")
     start, follow, kinds = np.zeros(3), np.zeros((3, 3)), np.zeros((3, N_FEATURES))
-    pairs = known.select("conv", "turn", "mark").join(known.select("conv", (F.col("turn") - 1).alias("turn"), F.col("mark").alias("next")), ["conv", "turn"])
+    turns = known.where("numbered = 1").select("conv", "turn", "mark").distinct()
+    pairs = turns.join(turns.select("conv", (F.col("turn") - 1).alias("turn"), F.col("mark").alias("next")), ["conv", "turn"])
     for a, b, n in pairs.groupBy("mark", "next").count().collect():
         follow[a, b] = n
-    for a, n in known.where("turn = 0").groupBy("mark").count().collect():
+    for a, n in turns.where("turn = 0").groupBy("mark").count().collect():
         start[a] = n
     lines = known.select("mark", F.explode("kinds").alias("kind")).groupBy("mark", "kind").count().collect()
     for a, b, n in lines:
@@ -150,10 +161,10 @@ def fit(rows: DataFrame) -> ChatModel:
 
 def _segments(table: pa.Table, model: ChatModel):
     """Conversations of one partition in order: (conv, rows, emissions, row of each line)."""
-    table = table.sort_by([("conv", "ascending"), ("turn", "ascending"), ("tie", "ascending")])
-    conv = table.column("conv").to_numpy()
+    table = table.sort_by([(c, "ascending") for c in PLACE])
+    conv = np.array(table.column("conv").to_pylist(), object)
     marks, told, kinds = table.column("mark").to_numpy(), table.column("told").to_numpy(), table.column("kinds").to_pylist()
-    for rows in np.split(np.arange(len(conv)), np.flatnonzero(np.diff(conv) != 0) + 1):
+    for rows in np.split(np.arange(len(conv)), np.flatnonzero(conv[1:] != conv[:-1]) + 1):
         if not len(rows):
             continue
         row = np.repeat(rows, [len(kinds[i]) for i in rows])
@@ -173,8 +184,8 @@ def _borders(model: ChatModel):
         return pa.table(
             {
                 "part": table.column("part").slice(0, 1),
-                "head": pa.array([int(ends[0][1])], pa.int64()),
-                "tail": pa.array([int(ends[1][1])], pa.int64()),
+                "head": pa.array([ends[0][1]], pa.string()),
+                "tail": pa.array([ends[1][1]], pa.string()),
                 "one": pa.array([len(own) == 1]),
                 "head_matrix": pa.array([mats[0]], pa.binary()),
                 "tail_matrix": pa.array([mats[1]], pa.binary()),
@@ -226,7 +237,7 @@ def _decode(model: ChatModel, borders):
             path = viterbi(emit, first, model.next, last if i == len(own) - 1 else None)
             roles[row] = path % 3
         done = own[0][0]
-        return pa.table({"conv": done.column("conv"), "turn": done.column("turn"), "tie": done.column("tie"), "found": pa.array(roles, pa.int32())})
+        return pa.table({"tie": done.column("tie"), "found": pa.array(roles, pa.int32())})
 
     return run
 
@@ -237,34 +248,47 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), body, F.lit("\n<|end|>\n"))
 
 
-def format_conversations(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+def format_conversations(df: DataFrame, conv: str, turn: str, role: str | None, text: str, model: ChatModel | None = None) -> DataFrame:
     """``record`` (the row as it was), ``found_role`` and ``rendered`` of every row of a table of turns.
 
-    The role column decides where it names a known speaker; else a marker at the text's start is, else the role is
-    recovered. Rows of a conversation are chained by turn, ties and repeated rows by a hash of their content; a null
-    conversation, turn or text counts as conversation -1, turn -1 and an empty text. No row is dropped. Columns of any
-    name may be present. An empty table gives an empty result.
+    The role column, if there is one, decides where it names a known speaker; else a marker at the text's start is
+    evidence, and the role is recovered from it, the lines and the neighbours. Without a ``model`` one is fitted on the
+    table's known roles and markers. Rows of a conversation are chained by turn, those without a number first, ties and
+    repeated rows in the order of the input; rows of a null conversation are one chain of their own; a null text is
+    empty. No row is dropped. Columns of any name may be present. An empty table gives an empty result.
     """
     spark = df.sparkSession
+    rows, compact = _placed(df, conv, turn, role, text)
+    model = model or fit(compact)
+    borders = compact.groupBy("part").applyInArrow(_borders(model), "part int, head string, tail string, one boolean, head_matrix binary, tail_matrix binary, tail_start binary")
+    states = spark.sparkContext.broadcast(border_states(sorted(borders.collect(), key=lambda p: p.part)))  # under 1 kB for RANGE_ROWS rows
+    found = compact.groupBy("part").applyInArrow(_decode(model, states), "tie long, found int")
+    name = F.array(*[F.lit(r) for r in ROLES])[F.col("found")]
+    return rows.join(found, "tie").select("record", name.alias("found_role"), render(name, F.col(f"record.`{text}`")).alias("rendered"))
+
+
+def fit_turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> ChatModel:
+    """Model of the rows of a table of turns whose role is known or marked."""
+    return fit(_placed(df, conv, turn, role, text)[1])
+
+
+def _placed(df: DataFrame, conv: str, turn: str, role: str | None, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their number, and their lines in ranges of (conversation, turn)."""
     rows = scratch.materialize(
         df.select(
             F.struct(*[df[c] for c in df.columns]).alias("record"),
-            F.coalesce(df[conv].cast("long"), F.lit(-1)).alias("conv"),
-            F.coalesce(df[turn].cast("long"), F.lit(-1)).alias("turn"),
+            F.coalesce(F.concat(F.lit("c"), df[conv].cast("string")), F.lit("")).alias("conv"),
+            df[turn].isNotNull().cast("int").alias("numbered"),
+            F.coalesce(df[turn].cast("long"), F.lit(0)).alias("turn"),
             F.monotonically_increasing_id().alias("tie"),
         ),
         "turns",
     )
-    told, said = F.col(f"record.`{role}`"), F.col(f"record.`{text}`")
-    lines = rows.select("conv", "turn", "tie", role_code(told).alias("code"), said.alias("text")).mapInArrow(_compact, "conv long, turn long, tie long, mark int, told boolean, kinds array<int>")
-    n = max(1, rows.count() // RANGE_ROWS)
-    compact = scratch.materialize(lines.repartitionByRange(n, "conv", "turn", "tie").withColumn("part", F.spark_partition_id()), "lines")
-    model = fit(compact)
-    borders = compact.groupBy("part").applyInArrow(_borders(model), "part int, head long, tail long, one boolean, head_matrix binary, tail_matrix binary, tail_start binary")
-    states = spark.sparkContext.broadcast(border_states(sorted(borders.collect(), key=lambda p: p.part)))  # a few hundred bytes a partition
-    found = compact.groupBy("part").applyInArrow(_decode(model, states), "conv long, turn long, tie long, found int").select("tie", "found")
-    name = F.array(*[F.lit(r) for r in ROLES])[F.col("found")]
-    return rows.join(found, "tie").select("record", name.alias("found_role"), render(name, said).alias("rendered"))
+    told = role_code(F.col(f"record.`{role}`")) if role else F.lit(None).cast("int")
+    lines = rows.select(*PLACE, told.alias("code"), F.col(f"record.`{text}`").alias("text")).mapInArrow(_compact, "conv string, numbered int, turn long, tie long, mark int, told boolean, kinds array<int>")
+    n = rows.count()
+    n = max(1, n // RANGE_ROWS, min(df.sparkSession.sparkContext.defaultParallelism, n // 2000))
+    return rows, scratch.materialize(lines.repartitionByRange(n, *PLACE).withColumn("part", F.spark_partition_id()), "lines")
 
 
 def parse_transcripts(df: DataFrame, key: str, text: str, model: ChatModel | None = None) -> DataFrame:
@@ -283,7 +307,7 @@ def parse_transcripts(df: DataFrame, key: str, text: str, model: ChatModel | Non
                     continue
                 parsed = [split_marker(CLOSING.sub("", x)) for x in text.split("\n")]
                 marks = np.array([m for m, _ in parsed])
-                path = viterbi(emissions(marks, np.array([line_feature(b, 1) for _, b in parsed]), model.kinds), model.first, model.next)
+                path = viterbi(emissions(marks, np.array([line_feature(b, 0) for _, b in parsed]), model.kinds), model.first, model.next)
                 turns: list[tuple[int, list[str]]] = []
                 for state, (_, body) in zip(path, parsed, strict=True):
                     if state < 3 or not turns:
@@ -296,12 +320,14 @@ def parse_transcripts(df: DataFrame, key: str, text: str, model: ChatModel | Non
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, turn long, role string, rendered string")
 
 
-def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role", "text")
-    return out.select("record.conv_id", "record.turn", F.col("found_role").alias("role"), F.sha2("rendered", 256).alias("rendered_sha256"))
+def held_out(conv: Column) -> Column:
+    """Whether a conversation's roles are not learnt from."""
+    return F.crc32(F.coalesce(conv.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-OP3_SQL = """
-select conv_id, turn, role, sha256('<|' || role || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10)) as rendered_sha256
-from conversations
-"""
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's role from its lines and its neighbours alone: roles are read only where the model is fitted."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    model = fit_turns(turns.where(~held_out(F.col("conv_id"))), "conv_id", "turn", "role", "text")
+    out = format_conversations(turns.select("conv_id", "turn", "text"), "conv_id", "turn", None, "text", model)
+    return out.select("record.conv_id", "record.turn", held_out(F.col("record.conv_id")).alias("held_out"), F.col("found_role").alias("role"), F.sha2("rendered", 256).alias("rendered_sha256"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from .bpe import op10_byte_bpe
-from .chat import OP3_SQL, op3_chat_format
+from .chat import op3_chat_format
 from .decontaminate import OP2_SQL, SHINGLES_SQL, op2_decontaminate
 from .jaccard import op9_jaccard_join
 from .linededup import OP7_SQL, op7_line_dedup
@@ -44,7 +44,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
-    "op3_chat_format": OP3_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_jaccard_join": OP9_SQL,
