@@ -4,8 +4,8 @@ Equal vectors are one node. A neighbour graph starts from vectors that lie near
 hyperplane codes, and is refined by joins of neighbours with neighbours' neighbours. Lists that are full of links are
 enlarged to their whole component: the next round's lists hold nodes of other components only, and rounds go on while a
 list holds nothing but links. Components are compared in blocks, so link counts are exact inside one. Recall is audited
-by brute force for queries against all rows, drawn anew from distinct components in each round; what the audit finds is
-added, and rounds go on until a fresh audit finds enough and a round's own joins have run dry. If they never do, the
+by brute force: the vectors whose ids are divisible by 20, and in later rounds those of the next remainders, against all
+rows, in blocks; what the audit finds is added, and rounds go on until a fresh audit finds enough and a round's own joins have run dry. If they never do, the
 query fails. Edges of at least the threshold in double precision are kept.
 """
 
@@ -31,7 +31,10 @@ TABLES, WINDOW = 8, 256
 PROPOSED = 4
 #: Most rows of a component on either side of one block comparison, and most neighbours joined at one node at once.
 BLOCK, JOINED = 2048, 48
-AUDIT_QUERIES, TARGET_RECALL, MOST_ROUNDS = 200, 0.995, 5
+TARGET_RECALL, MOST_ROUNDS = 0.995, 5
+#: A round's audit takes as queries the vectors whose id leaves the round's number as remainder by this; in blocks of so
+#: many bytes, each searched in slices of so many rows.
+AUDIT_STEP, AUDIT_BYTES, AUDIT_ROWS = 20, 8 << 20, 1024
 
 EDGE = "u long, v long, s double"
 
@@ -193,41 +196,57 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return left.union(right).withColumn("place", place).groupBy("place").applyInArrow(_block_counts(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(members: DataFrame, threshold: float, queries: int, round_: int) -> tuple[float, DataFrame]:
-    """Mean recall of "linked rows share a component" over queries that have links, and the missed links.
+def _search(shared, threshold: float):
+    """Rows (node, root, unit) against a block of queries: (a, b) of missed links, and a query's counts without b."""
 
-    The queries differ from round to round. Each is drawn from a component of its own, so a large group counts once.
-    """
-    spark = members.sparkSession
-    drawn = members.groupBy("root").agg(F.min(F.struct(F.xxhash64(F.lit("audit"), F.lit(round_), "node").alias("h"), "node")).alias("q"))
-    drawn = drawn.orderBy("q").limit(queries).select("q.node")
-    picked = members.join(drawn, "node").select("node", "root", "unit").collect()
-    shared = spark.sparkContext.broadcast([(r.node, r.root, bytes(r.unit)) for r in picked])
-
-    def search(batches):
-        by_dim: dict[int, list] = {}
-        for node, root, unit in shared.value:
-            by_dim.setdefault(len(unit), []).append((node, root, np.frombuffer(unit)))
+    def run(batches):
+        by_dim: dict[int, tuple] = {}
+        for size in {len(u) for _, _, u in shared.value}:
+            own = [(n, r, np.frombuffer(u)) for n, r, u in shared.value if len(u) == size]
+            by_dim[size] = (*(np.array([x[i] for x in own], np.int64) for i in (0, 1)), np.stack([x[2] for x in own]), np.zeros((2, len(own)), np.int64))
         for batch in batches:
             sizes = np.array([len(x.as_buffer()) for x in batch.column(2)], int)
-            for size in np.unique(sizes):
-                if int(size) not in by_dim:
-                    continue
+            for size in by_dim.keys() & set(sizes.tolist()):
                 part = batch.filter(pa.array(sizes == size))
-                node, root = part.column(0).to_numpy(), part.column(1).to_numpy()
-                qn, qr, q = zip(*by_dim[int(size)], strict=True)
-                qn, qr = np.array(qn), np.array(qr)
-                near = (np.stack(q) @ _matrix(part.column(2)).T >= threshold) & (qn[:, None] != node[None])
-                missed = near & (qr[:, None] != root[None])
-                a, b = np.nonzero(missed)
-                some = near.any(axis=1)  # a query's counts are a row without b
-                true, lost = near.sum(axis=1)[some], missed.sum(axis=1)[some]
-                none = np.zeros(len(a), int)
-                yield pa.record_batch({"a": pa.array(np.concatenate([qn[some], qn[a]]), pa.int64()), "b": pa.array([None] * len(true) + node[b].tolist(), pa.int64()), "true": pa.array(np.concatenate([true, none]), pa.int64()), "missed": pa.array(np.concatenate([lost, none]), pa.int64())})
-
-    found = scratch.materialize(members.select("node", "root", "unit").mapInArrow(search, "a long, b long, true long, missed long"), "audit")
-    each = found.where("b is null").groupBy("a").agg((1 - F.sum("missed") / F.sum("true")).alias("recall"))
-    recall = each.agg(F.avg("recall")).first()[0]
+                qn, qr, q, counts = by_dim[size]
+                for lo in range(0, len(part), AUDIT_ROWS):
+                    rows = part.slice(lo, AUDIT_ROWS)
+                    node, root = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                    a, b = np.nonzero(q @ _matrix(rows.column(2)).T >= threshold)
+                    other = qn[a] != node[b]
+                    a, b = a[other], b[other]
+                    lost = qr[a] != root[b]
+                    counts += np.stack([np.bincount(x, minlength=len(qn)) for x in (a, a[lost])])
+                    if lost.any():
+                        none = np.zeros(int(lost.sum()), np.int64)
+                        yield pa.record_batch({"a": pa.array(qn[a[lost]]), "b": pa.array(node[b[lost]]), "root": pa.array(qr[a[lost]]), "true": pa.array(none), "missed": pa.array(none)})
+        for qn, qr, _, (true, lost) in by_dim.values():
+            some = true > 0
+            yield pa.record_batch({"a": pa.array(qn[some]), "b": pa.array([None] * int(some.sum()), pa.int64()), "root": pa.array(qr[some]), "true": pa.array(true[some]), "missed": pa.array(lost[some])})
+
+    return run
+
+
+def audit(members: DataFrame, threshold: float, round_: int) -> tuple[float, DataFrame]:
+    """Mean recall of "linked rows share a component" over components with queries that have links, and the missed links.
+
+    Queries of ``members(node, first, root, unit)`` are those whose ``first`` has the round's remainder. A component's
+    recall is the mean of its queries', so a large group counts once.
+    """
+    spark = members.sparkSession
+    queries = scratch.materialize(members.where(F.pmod(F.coalesce("first", F.lit(0)), F.lit(AUDIT_STEP)) == round_ % AUDIT_STEP).select("node", "root", "unit"), "queries")
+    blocks = -(-(queries.agg(F.sum(F.octet_length("unit"))).first()[0] or 0) // AUDIT_BYTES)
+    found = None
+    for i in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i).collect()  # of a checked size
+        shared = spark.sparkContext.broadcast([(r.node, r.root, bytes(r.unit)) for r in block])
+        part = members.select("node", "root", "unit").mapInArrow(_search(shared, threshold), "a long, b long, root long, true long, missed long")
+        part = scratch.materialize(part, "audit")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return 1.0, spark.createDataFrame([], "a long, b long")
+    each = found.where("b is null").groupBy("root", "a").agg((1 - F.sum("missed") / F.sum("true")).alias("recall"))
+    recall = each.groupBy("root").agg(F.avg("recall").alias("recall")).agg(F.avg("recall")).first()[0]
     return 1.0 if recall is None else recall, found.where("b is not null").select("a", "b")
 
 
@@ -260,7 +279,7 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = 0.9
         roots = star_components(links, "near")
         members = scratch.materialize(nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
         before, left = left, members.agg(F.count_distinct("root")).first()[0]
-        recall, missed = audit(members, threshold, AUDIT_QUERIES, round_)
+        recall, missed = audit(members, threshold, round_)
         if recall < 1.0:
             links = links.union(missed)
             roots = star_components(links, "near")

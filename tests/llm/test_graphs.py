@@ -1,6 +1,8 @@
 """Near-duplicate vectors, components, chat, and the pipeline."""
 
+import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -37,7 +39,7 @@ def test_components_equal_union_find(spark, local):
     assert star_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op6_embedding_near_dedup", "op3_chat_format"])
+@pytest.mark.parametrize("name", ["op6_embedding_near_dedup"])
 def test_query_equals_sql(spark, duck, name):
     same_rows(QUERIES[name](spark, SMALL), duck, ORACLE[name])
 
@@ -68,7 +70,7 @@ def test_links_equal_brute_force(spark, monkeypatch):
 
 def test_full_lists_hide_no_links(spark, monkeypatch):
     """Two tight families, linked only with one another beyond their own kind: a list of any fixed length is too short."""
-    monkeypatch.setattr(neardup, "AUDIT_QUERIES", 0)
+    monkeypatch.setattr(neardup, "audit", lambda members, *_: (1.0, members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)))
     rng = np.random.default_rng(7)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     x = []
@@ -84,19 +86,22 @@ def test_full_lists_hide_no_links(spark, monkeypatch):
     assert [got[i].n_links for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
 
 
-def test_audit_draws_anew_and_counts_a_group_once(spark):
+def test_audit_takes_a_remainder_each_round_and_counts_a_group_once(spark, monkeypatch):
     turn = lambda d: np.array([np.cos(d), np.sin(d)])
     at = lambda plane, d: np.concatenate([np.zeros(2 * plane), turn(d), np.zeros(2 * (7 - plane))])
     rows = [(i, 0, at(0, i / 1000)) for i in range(60)]  # one joined group
     rows += [(100 + 2 * p + i, 100 + 2 * p, at(p, i / 1000)) for p in range(1, 6) for i in range(2)]  # joined pairs
     rows += [(200 + i, 200 + i, at(6, i / 1000)) for i in range(2)]  # a missed pair
-    members = spark.createDataFrame([(a, r, bytearray(x.tobytes())) for a, r, x in rows], "node long, root long, unit binary")
-    recall, missed = neardup.audit(members, 0.9, 200, 0)
-    assert recall == pytest.approx(6 / 8)
-    assert sorted(map(tuple, missed.collect())) == [(200, 201), (201, 200)]
-    alone = spark.range(400).select(F.col("id").alias("node"), F.col("id").alias("root"), F.lit(bytearray(turn(0).tobytes())).alias("unit"))
-    drawn = [{r.a for r in neardup.audit(alone, 0.9, 10, i)[1].collect()} for i in range(2)]
-    assert len(drawn[0]) == len(drawn[1]) == 10 and drawn[0] != drawn[1]
+    members = spark.createDataFrame([(a, a, r, bytearray(x.tobytes())) for a, r, x in rows], "node long, first long, root long, unit binary")
+    for size in (8 << 20, 600):  # one block of queries, many blocks
+        monkeypatch.setattr(neardup, "AUDIT_BYTES", size)
+        monkeypatch.setattr(neardup, "AUDIT_STEP", 1)
+        recall, missed = neardup.audit(members, 0.9, 0)
+        assert recall == pytest.approx(6 / 8)
+        assert sorted(map(tuple, missed.collect())) == [(200, 201), (201, 200)]
+        monkeypatch.setattr(neardup, "AUDIT_STEP", 20)
+        assert neardup.audit(members, 0.9, 0)[0] == pytest.approx(1 / 2)  # 0, 20, 40 of the group; 200
+        assert neardup.audit(members, 0.9, 2)[0] == 1.0
 
 
 def test_rounds_that_never_reach_the_target_fail(spark, monkeypatch):
@@ -143,6 +148,49 @@ def test_hidden_roles_are_recovered(spark):
     assert (got[got.told.isna()].role == got[got.told.isna()].found_role).mean() > 0.95
 
 
+def test_query_equals_brute_force_and_finds_held_out_roles(spark):
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.held_out, r.role, r.rendered_sha256) for r in QUERIES["op3_chat_format"](spark, sf).collect()}
+    said = {}
+    for r in sorted(table.collect(), key=lambda r: (r.conv_id, r.turn)):
+        said.setdefault(r.conv_id, []).append((r.turn, r.role, r.text or ""))
+    held = {c: zlib.crc32(str(c).encode()) % 5 == 0 for c in said}
+    start, follow, kinds, lines, turns = np.zeros(3), np.zeros((3, 3)), np.zeros((3, chat.N_FEATURES)), 0, 0
+    for c, rows in said.items():
+        if not held[c]:
+            roles = [chat.ROLES.index(r) for _, r, _ in rows]
+            start[roles[0]] += 1
+            for a, b in zip(roles, roles[1:]):
+                follow[a, b] += 1
+            for role, (_, _, text) in zip(roles, rows):
+                turns += 1
+                for i, line in enumerate(text.split("\n")):
+                    kinds[role, chat.line_feature(line, i)] += 1
+                    lines += 1
+    norm = lambda x: np.log((x + 1) / (x + 1).sum(axis=-1, keepdims=True))
+    start, follow, kinds, stay = norm(start), norm(follow), norm(kinds), 1 - turns / lines
+    right = []
+    for c, rows in said.items():
+        score, path = None, []
+        for _, _, text in rows:  # a turn's score by role: its lines, and a step for each
+            body = text.split("\n")
+            emit = np.array([sum(kinds[r, chat.line_feature(x, i)] for i, x in enumerate(body)) for r in range(3)])
+            step = start if score is None else score[:, None] + follow
+            path.append(step.argmax(axis=0) if score is not None else None)
+            score = (step if score is None else step.max(axis=0)) + emit
+        role = int(score.argmax())
+        for (turn, known, text), back in reversed(list(zip(rows, path))):
+            found = chat.ROLES[role]
+            rendered = f"<|{found}|>\n{text}\n<|end|>\n"
+            assert got[c, turn] == (held[c], found, hashlib.sha256(rendered.encode()).hexdigest())
+            if held[c]:
+                right.append(found == known)
+            role = int(back[role]) if back is not None else role
+    assert 0 < stay < 1 and len(got) == sum(map(len, said.values()))
+    assert np.mean(right) >= 0.95
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
@@ -164,10 +212,10 @@ def test_raw_transcripts(spark):
 
 
 def test_odd_turns(spark):
-    rows = [(None, None, None, None, "x"), (1, 0, "user", "hi", None), (1, 0, "user", "hi", "y"), (1, 1, "robot", "", "z"), (1, None, "Assistant", "a\n" * 3000, "z")]
+    rows = [(None, None, None, None, "x"), (-1, 0, "user", "q", "x"), (1, 0, "user", "hi", None), (1, 0, "user", "hi", "y"), (1, 1, "robot", "", "z"), (1, None, "Assistant", "a\n" * 3000, "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record string")
     got = chat.format_conversations(df, "conv_id", "turn", "role", "text").collect()
-    assert len(got) == 5 and all(r.found_role in chat.ROLES and r.rendered.endswith("<|end|>\n") for r in got)
+    assert len(got) == 6 and all(r.found_role in chat.ROLES and r.rendered.endswith("<|end|>\n") for r in got)
     assert chat.format_conversations(df.limit(0), "conv_id", "turn", "role", "text").count() == 0
 
 
