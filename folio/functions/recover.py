@@ -64,7 +64,7 @@ def answer_in_text(text: str) -> tuple[str, str]:
     found, how = first_object(text)
     if found is not None:
         return squash(next((found[k] for k in JSON_ANSWER_KEYS if k in found), "")), how
-    if (m := FIELD.search(text)) and m[1]:
+    if m := FIELD.search(text):  # a blank field is a blank answer, not the text around it
         return squash(re.sub(r"\\(.)", lambda e: ESCAPES.get(e[1], e[1]), m[1], flags=re.DOTALL)), "field_scan"
     return squash(text), "raw_text"
 
@@ -133,47 +133,56 @@ def recovered_answer(item_json: Column) -> Column:
     return _recover(item_json)
 
 
+# Number words and what they stand for.
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-SCALES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
+ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth".split()
+SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
 VALUES = {w: i for i, w in enumerate(UNITS)} | {w: 10 * (i + 2) for i, w in enumerate(TENS)}
+# Shapes of fractions and numerals.
+FRACTION = re.compile(r"\\frac\{\s*(-?\d+)\s*\}\{\s*(-?\d+)\s*\}|(-?\d+)\s*/\s*(-?\d+)")
+NUMERAL = re.compile(r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:e[-+]?\d+)?%?")
+#: Words of the longest number phrase.
+PHRASE = 6
 
 
 def words_value(words: list[str]) -> float | None:
-    """Value of English number words, or None if a word is none."""
+    """Value of English number words, or None if a word is none; an ordinal counts only alone, ``and`` not at all."""
+    words = [w for w in words if w != "and"]
+    if len(words) == 1 and words[0] in ORDINALS:
+        return float(ORDINALS.index(words[0]) + 1)
     total = part = 0
     for w in words:
         if w in VALUES:
             part += VALUES[w]
         elif w == "hundred":
-            part = max(part, 1) * 100
+            part = (part or 1) * 100
         elif w in SCALES:
-            total, part = total + max(part, 1) * SCALES[w], 0
-        elif w != "and":
+            total, part = total + (part or 1) * SCALES[w], 0
+        else:
             return None
-    return float(total + part) if words and any(w != "and" for w in words) else None
+    return float(total + part) if words else None
 
 
 def numbers_in(text: str) -> list[float]:
-    """Fractions, numerals, percents (also over 100) and number words, longest first; distinct to 12 digits."""
-    text, out = (text or "").lower(), []
-    for m in re.finditer(r"(?<![\d.])(\d+)\s*/\s*(\d+)(?![\d.])", text):
-        if int(m[2]):
-            out.append(int(m[1]) / int(m[2]))
-    for m in re.finditer(r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:e[-+]?\d+)?%?", text):
-        value = float(m[0].rstrip("%").replace(",", ""))
-        out += [value, value / 100] if m[0].endswith("%") else [value]
-    words = re.findall(r"[a-z]+", text.replace("-", " "))
-    i = 0
-    while i < len(words):
-        for j in range(min(len(words), i + 6), i, -1):
-            if words[i] != "and" and words[j - 1] != "and" and (value := words_value(words[i:j])) is not None:
-                out.append(value)
-                i = j
-                break
-        else:
-            i += 1
-    return list(dict.fromkeys(float(f"{x:.12g}") for x in out))
+    """Fractions, numerals, percents (also over 100) and, from every word on, the longest number phrase.
+
+    In that order, each value once (to 12 decimals). A fraction over zero is none.
+    """
+    text = text or ""
+    found = [int(a or c) / int(b or d) for a, b, c, d in FRACTION.findall(text) if int(b or d)]
+    for numeral in NUMERAL.findall(text):
+        value = float(numeral.rstrip("%").replace(",", ""))
+        found += [value, value / 100] if numeral.endswith("%") else [value]
+    words = re.findall(r"[a-z]+", text.lower())
+    for i in range(len(words)):
+        phrases = (words_value(words[i:j]) for j in range(min(len(words), i + PHRASE), i, -1))
+        value = next((v for v in phrases if v is not None), None)
+        found += [] if value is None else [value]
+    once: dict[float, float] = {}
+    for x in found:
+        once.setdefault(round(x, 12), x)
+    return list(once.values())
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))

@@ -21,8 +21,7 @@ def accept_by_both(candidates: DataFrame, first: DataFrame, second: DataFrame, k
 
 def accept_distinct(accepted: DataFrame, key: str, question: str, *order: Column) -> DataFrame:
     """Accepted rows without near-duplicates of earlier accepted ones, in the stated order."""
-    pairs = graph.near_duplicate_questions(accepted, key, question).select("a", "b")
-    return graph.keep_first(accepted, pairs, key, *order)
+    return graph.keep_distinct(accepted, key, question, *order)
 
 
 def first_of_each_question(rows: DataFrame, question: str, *order: Column) -> DataFrame:

@@ -60,24 +60,57 @@ def greedy_reuse(ranked: DataFrame, members: list[str], target: int, reuse: int,
     return out
 
 
-def near_duplicate_questions(questions: DataFrame, key: str, question: str, num: int = 80, den: int = 100) -> DataFrame:
-    """(a, b, common, total) of questions whose token sets have a Jaccard similarity of num / den or more.
+def question_classes(questions: DataFrame, key: str, question: str, *order: Column) -> DataFrame:
+    """(id, first, tokens) of every row: its token set, and the first row in order (then by key) that has the same set."""
+    tokens = F.array_sort(F.array_distinct(F.split(content_text(F.col(question)), " ")))
+    rows = questions.select(F.col(key).alias("id"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id")).alias("rank"), tokens.alias("tokens"))
+    rows = rows.withColumn("set", F.sha2(F.array_join("tokens", " "), 256))
+    first = rows.groupBy("set").agg(F.min("rank").alias("best")).select("set", F.col("best.id").alias("first"))
+    return rows.join(first, "set").select("id", "first", "tokens")
+
+
+def _class_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, common, total) of token sets ``classes(id, tokens)`` with a Jaccard similarity of num / den or more.
 
     Tokens are ordered from rare to common; two such sets share a token in their prefixes, so only these are joined.
     """
-    sets = questions.select(F.col(key).alias("id"), F.array_distinct(F.split(content_text(F.col(question)), " ")).alias("tokens"))
-    rows = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rows = classes.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "token"))
     prefix = rows.join(df, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
-    x, y = prefix.select("token", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    x, y = prefix.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")), prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    # what is left from the shared token on must reach the overlap that the similarity asks for
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1 >= F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    pairs = x.join(y, "token").where(fits & reach).select("a", "b").distinct()
+    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(classes.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     out = both.select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb") - common).alias("total"))
     return out.where(F.col("common") * den >= F.col("total") * num)
 
 
+def near_duplicate_questions(questions: DataFrame, key: str, question: str, num: int = 80, den: int = 100) -> DataFrame:
+    """(a, b, common, total) of questions whose token sets have a Jaccard similarity of num / den or more.
+
+    Rows of one token set are one class: links join the smallest keys of classes, and each other row its class's smallest
+    key, so that N copies make N - 1 rows. A null or blank question has the set of one empty token.
+    """
+    rows = question_classes(questions, key, question)
+    pairs = _class_pairs(rows.where("id = first").select("id", "tokens"), num, den)
+    return pairs.union(rows.where("id <> first").select("first", "id", F.size("tokens"), F.size("tokens")))
+
+
+def keep_distinct(items: DataFrame, key: str, question: str, *order: Column, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows in order without those that are near-duplicates of an earlier row that stays.
+
+    Of rows of one token set only the first can stay: whatever drops it drops the later ones, and if it stays it does.
+    """
+    rows = question_classes(items, key, question, *order)
+    first = rows.where("id = first").select("id", "tokens")
+    best = items.join(first.select(F.col("id").alias(key)), key, "left_semi")
+    return keep_first(best, _class_pairs(first, num, den).select("a", "b"), key, *order)
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)])

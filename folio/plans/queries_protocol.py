@@ -56,10 +56,10 @@ def prefix_preference(t: Tables) -> DataFrame:
     return protocol.prefer_new_prefixes(rows, "bundle", "p_type", 8, F.desc("p_size"), F.col("p_partkey")).select("bundle", "p_partkey", "place")
 
 
-@query("""with x as (select p_brand g, p_partkey k, p_size s from part where p_partkey % 3 = 0), p as (select a.g, a.k a, b.k b, abs(a.s - b.s) span from x a join x b on a.g = b.g and a.k < b.k where abs(a.s - b.s) >= 10),
+@query("""with x as (select p_brand g, p_partkey k, p_size s from part), p as (select a.g, a.k a, b.k b, abs(a.s - b.s) span from x a join x b on a.g = b.g and a.k < b.k where abs(a.s - b.s) >= 10),
 r as (select *, row_number() over (partition by g order by span desc, a, b) r from p) select g as paper, a, b, span, r::int as rank from r where r <= 5""")
 def spread_subsets(t: Tables) -> DataFrame:
-    rows = t.part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("paper"), "p_partkey", "p_size")
+    rows = t.part.select(F.col("p_brand").alias("paper"), "p_partkey", "p_size")
     return protocol.spread_subsets(rows, "paper", "p_partkey", "p_size", 10, 5)
 
 

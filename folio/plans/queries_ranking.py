@@ -147,11 +147,11 @@ def complete_triangles(t: Tables) -> DataFrame:
     return ranking.complete_triangles(_pairs(t), "a", "b", "weight").withColumn("weight", F.round("weight", 6))
 
 
-@query(f"""with q as (select doc_id, list_distinct(string_split({CONTENT.format(x='text')}, ' ')) s from documents where n_chars < 600), t as (select doc_id, len(s) n, unnest(s) w from q),
-p as (select x.doc_id a, y.doc_id b, count(*) c, any_value(x.n) na, any_value(y.n) nb from t x join t y on x.w = y.w and x.doc_id < y.doc_id group by 1, 2)
-select a, b, c::int as common, (na + nb - c)::int as total from p where c * 100 >= (na + nb - c) * 80""")
+@query(f"""with q as (select doc_id, list_sort(list_distinct(string_split({CONTENT.format(x='text')}, ' '))) s from documents), c as (select s, min(doc_id) a from q group by s), t as (select a, len(s) n, unnest(s) w from c),
+p as (select x.a, y.a b, count(*) c, any_value(x.n) na, any_value(y.n) nb from t x join t y on x.w = y.w and x.a < y.a and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80 group by 1, 2)
+select a, b, c::int as common, (na + nb - c)::int as total from p where c * 100 >= (na + nb - c) * 80 union all select a, doc_id, len(q.s)::int, len(q.s)::int from q join c on q.s = c.s where doc_id <> a""")
 def near_dup_jaccard(t: Tables) -> DataFrame:
-    return graph.near_duplicate_questions(t.documents.where("n_chars < 600"), "doc_id", "text")
+    return graph.near_duplicate_questions(t.documents, "doc_id", "text")
 
 
 @query()
@@ -161,8 +161,7 @@ def near_dup_ratio(t: Tables) -> DataFrame:
 
 @query()
 def keep_first_questions(t: Tables) -> DataFrame:
-    pairs = graph.near_duplicate_questions(t.documents, "doc_id", "text").select("a", "b")
-    return graph.keep_first(t.documents.select("doc_id", "n_chars"), pairs, "doc_id", F.col("n_chars"))
+    return graph.keep_distinct(t.documents.select("doc_id", "n_chars", "text"), "doc_id", "text", F.col("n_chars")).select("doc_id", "n_chars")
 
 
 @query()

@@ -196,10 +196,10 @@ def manifest_continuity(t: Tables) -> DataFrame:
     return aggregates.continuity(t.orders.select(F.col("o_orderpriority").alias("component"), "o_custkey"), "component", "o_custkey")
 
 
-@query("""with c as (select l_suppkey, l_shipdate::date d, count(*) n, min(l_orderkey) seen from lineitem where l_suppkey <= 50 group by 1, 2)
+@query("""with c as (select l_suppkey, l_shipdate::date d, count(*) n, min(l_orderkey) seen from lineitem group by 1, 2)
 select l_suppkey, d::varchar as mode, n from (select *, row_number() over (partition by l_suppkey order by n desc, seen) r from c) where r = 1""")
 def first_seen_mode(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_suppkey <= 50").select("l_suppkey", F.col("l_shipdate").cast("date").cast("string").alias("d"), "l_orderkey")
+    rows = t.lineitem.select("l_suppkey", F.col("l_shipdate").cast("date").cast("string").alias("d"), "l_orderkey")
     return aggregates.first_seen_mode(rows, "l_suppkey", "d", F.col("l_orderkey"))
 
 

@@ -116,10 +116,10 @@ def lease_backoff(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures")).select("user_id", numbers.backoff_seconds(F.col("failures")).alias("wait"))
 
 
-@query("select conv_id, turn, text as clean from conversations where length(text) < 200")
+@query("select conv_id, turn, text as clean from conversations")
 def code_fence(t: Tables) -> DataFrame:
     fenced = F.concat(F.lit("<|im_start|>```json\n"), "text", F.lit("\n```<|im_end|>"))
-    return t.conversations.where("length(text) < 200").select("conv_id", "turn", text.clean_model_text(fenced).alias("clean"))
+    return t.conversations.select("conv_id", "turn", text.clean_model_text(fenced).alias("clean"))
 
 
 @query("select o_orderkey, o_custkey % 5 = 0 or o_custkey % 5 = 1 or o_custkey % 5 = 2 as illegal from orders")

@@ -142,10 +142,10 @@ def canonical_modalities(t: Tables) -> DataFrame:
     return said.select("item", F.array_join(F.array_intersect(order, named), "+").alias("modalities"))
 
 
-@query("""with p as (select l_orderkey item, list_sort(list_distinct(list(l_linenumber))) p from lineitem where l_orderkey < 3000 group by 1 having count(distinct l_linenumber) >= 2)
+@query("""with p as (select l_orderkey item, list_sort(list_distinct(list(l_linenumber))) p from lineitem group by 1 having count(distinct l_linenumber) >= 2)
 select item, item || '__drop_p' || d as variant, d as dropped, array_to_string(list_filter(p, lambda x: x <> d), ',') as kept from (select item, p, unnest(p) d from p)""")
 def ablation_variants(t: Tables) -> DataFrame:
-    sets = t.lineitem.where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("item")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("p"))
+    sets = t.lineitem.groupBy(F.col("l_orderkey").alias("item")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("p"))
     out = sets.select("item", F.explode(pages.leave_one_out(F.col("p"))).alias("v"))
     return out.select("item", F.concat(F.col("item").cast("string"), F.lit("__drop_p"), F.col("v.dropped").cast("string")).alias("variant"), "v.dropped", F.array_join("v.kept", ",").alias("kept"))
 
@@ -173,10 +173,10 @@ def asset_aliases(t: Tables) -> DataFrame:
     return review.asset_aliases(files, "content", "path").select("content", F.col("preferred").cast("long").alias("preferred"), "copies")
 
 
-@query("select o_orderpriority as component, count(*) n, sha256(string_agg(lpad(o_orderkey::varchar, 10, '0'), chr(10) order by o_orderkey)) as fingerprint from orders where o_orderkey % 50 = 0 group by 1")
+@query("select o_orderpriority as component, count(*) n, sha256(string_agg(lpad(o_orderkey::varchar, 10, '0'), chr(10) order by o_orderkey)) as fingerprint from orders group by 1")
 def distribution_fingerprint(t: Tables) -> DataFrame:
     ids = F.lpad(F.col("o_orderkey").cast("string"), 10, "0")
-    return t.orders.where("o_orderkey % 50 = 0").groupBy(F.col("o_orderpriority").alias("component")).agg(F.count("*").alias("n"), hashing.ordered_fingerprint(ids).alias("fingerprint"))
+    return t.orders.groupBy(F.col("o_orderpriority").alias("component")).agg(F.count("*").alias("n"), hashing.ordered_fingerprint(ids).alias("fingerprint"))
 
 
 @query("select user_id, event_id % 4 = 0 as cached, count(*) n from events group by 1, 2")

@@ -122,8 +122,10 @@ def test_recovered_answer(spark, item, want):
 
 
 def test_numbers_in_text():
-    assert recover.numbers_in("1/4 of 1,200 is twenty five percent, 50%") == [0.25, 1.0, 4.0, 1200.0, 50.0, 0.5, 25.0]
-    assert recover.numbers_in("two hundred and five") == [205.0]
+    assert recover.numbers_in("1/4 of 1,200 is twenty five percent, 50%") == [0.25, 1.0, 4.0, 1200.0, 50.0, 0.5, 25.0, 5.0]
+    assert recover.numbers_in("two hundred and five") == [205.0, 105.0, 5.0]
+    assert recover.numbers_in(r"the first of \frac{1}{2}, -3/4") == [0.5, -0.75, 1.0, 2.0, -3.0, 4.0]
+    assert recover.answer_in_text('{"answer_pre": "", "evidence_pages": [1') == ("", "field_scan")
     assert recover.numbers_in(None) == []
 
 
