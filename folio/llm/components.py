@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Links (16 bytes each) that one task may finish; more are reduced by distributed steps first.
+#: Links that one task may finish: 16 MB of them. More are reduced by distributed steps first, to the same roots.
 LOCAL_LINKS = 1_000_000
 
 

@@ -17,8 +17,9 @@ from . import scratch
 
 #: Bytes of text that one bucket holds on average; a task keeps one bucket in memory.
 BUCKET_BYTES = 16 << 20
-#: The bucket table is broadcast up to this many rows; a larger one is joined by a shuffle.
-BROADCAST_BUCKETS = 1 << 20
+#: Most buckets: the bucket table, of 16 bytes a row, is broadcast. Beyond so many, buckets grow with the input (100 TB
+#: make buckets of 95 MB).
+MOST_BUCKETS = 1 << 20
 
 
 def rendezvous(key: Column, n_shards: int, seed: int) -> Column:
@@ -49,7 +50,7 @@ def shard_records(
     files and settings. The written shards stay in the shared folder and outlive executors.
     """
     n_bytes = df.agg(F.sum(byte_length(F.col(text)) + 1)).first()[0] or 0
-    per_shard = max(1, -(-n_bytes // (bucket_bytes * n_shards)))
+    per_shard = max(1, -(-n_bytes // (max(bucket_bytes, -(-n_bytes // MOST_BUCKETS)) * n_shards)))
     scattered = df.select(
         F.struct(*[df[c] for c in df.columns]).alias("record"),
         rendezvous(df[key], n_shards, seed).alias("shard"),
@@ -71,9 +72,7 @@ def shard_records(
     sizes = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if n_buckets <= BROADCAST_BUCKETS:  # one row of 16 bytes a bucket
-        bases = F.broadcast(bases)
-    return written.join(bases, ["shard", "bucket"]).select(
+    return written.join(F.broadcast(bases), ["shard", "bucket"]).select(
         "record", "shard", "grown_shard", (F.col("base") + F.col("place")).alias("slot")
     )
 

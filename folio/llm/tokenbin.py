@@ -29,6 +29,8 @@ from .pretokens import WordCache
 
 #: Bytes of text that one range of documents holds on average.
 RANGE_BYTES = 16 << 20
+#: Most ranges, and so rows of the manifest; beyond them ranges grow with the input (100 TB make ranges of 760 MB).
+MOST_RANGES = 1 << 17
 
 
 def tokenizer_file() -> str:
@@ -133,11 +135,11 @@ def write_token_files(df: DataFrame, key: str, text: str, path: str | None = Non
     spark = df.sparkSession
     folder = scratch.new_path(spark, "tokens")
     n_bytes = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    ranges = max(1, n_bytes // RANGE_BYTES, min(spark.sparkContext.defaultParallelism, n_bytes >> 20))
+    ranges = max(1, min(n_bytes // RANGE_BYTES, MOST_RANGES), min(spark.sparkContext.defaultParallelism, n_bytes >> 20))
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     ordered = rows.repartitionByRange(ranges, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     manifest = scratch.materialize(ordered.mapInArrow(_write(path, folder, end_id), "part int, path string, kind string, n_docs long, n_ids long"), "manifest")
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a file
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a file, MOST_RANGES at most
     return folder, manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

@@ -57,3 +57,13 @@ def test_odd_rows(odd, none):
     check(rows, 8)
     assert Counter(r.record.doc_id for r in rows)[None] == 2
     assert shard_records(none, "doc_id", "text").count() == 0
+
+
+def test_buckets_are_bounded(spark, monkeypatch):
+    from folio.llm import sharding
+
+    monkeypatch.setattr(sharding, "MOST_BUCKETS", 4)
+    df = spark.range(3000).selectExpr("id as doc_id", "repeat('x', 100) as text")
+    rows = shard_records(df, "doc_id", "text", 2, bucket_bytes=1000).collect()
+    check(rows, 2)
+    assert len(rows) == 3000
