@@ -153,3 +153,9 @@ def answer_is_concatenation(answer: Column, parts: Column, residual: int = 8) ->
     rest = F.aggregate(folded, whole, lambda acc, p: F.replace(acc, p, F.lit(" ")))
     left = F.size(F.filter(F.split(rest, " +"), lambda w: w != ""))
     return (F.size(parts) >= 2) & F.forall(folded, lambda p: (p != "") & F.contains(whole, p)) & (left < residual)
+
+
+def scientific_terms(c: Column) -> Column:
+    """Distinct lower-case words, hyphens inside, of five or more characters; no stop words, none that begins with paper."""
+    words = F.regexp_extract_all(F.lower(text(c)), F.lit(r"([a-z][a-z0-9]+(?:-[a-z0-9]+)*)"), 1)
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 5) & ~w.startswith("paper") & ~w.isin(*STOPWORDS)))
