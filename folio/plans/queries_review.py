@@ -107,4 +107,4 @@ select user_id as unit, case when t = 'purchase' then 'complete' when n >= 3 the
 def stream_lease_states(t: Tables) -> DataFrame:
     from folio.streaming import leases
 
-    return leases.current(heartbeats.run_to_table(leases.lease_updates(heartbeats.read_events(t.spark, t.sf_dir)), "update"))
+    return leases.current(heartbeats.run_to_table(leases.lease_updates(heartbeats.read_events(t.spark, t.sf_dir))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -33,14 +35,35 @@ def sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", gap).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("beats"))
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drive a stream over all that is there and read its result."""
-    name = "s" + uuid.uuid4().hex
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that the driver and all executors see; a local one only where the master is local."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{own or 'file://' + tempfile.mkdtemp(prefix='folio-')}/stream-{uuid.uuid4().hex}"
+
+
+def run_to_table(stream: DataFrame, mode: str = "update") -> DataFrame:
+    """Drive a stream over all that is there; its updates with the number of the ``batch`` that wrote them.
+
+    Each batch overwrites its own files, so one that is run again after a failure counts once.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark)
+    schema = stream.schema
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/out/batch=-1")
+    query = (
+        stream.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+        .option("checkpointLocation", f"{folder}/state")
+        .outputMode(mode)
+        .trigger(availableNow=True)
+        .start()
+    )
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
 
 
 def hourly_counts_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = run_to_table(hourly_counts(read_events(spark, sf_dir).dropDuplicates(["event_id"])))
-    return got.select(F.col("w.start").cast("string").alias("hour"), "event_type", "n")
+    """Counts by hour and type of the distinct events, state bounded by the watermark; the last update of each counts."""
+    got = run_to_table(hourly_counts(deduplicated(read_events(spark, sf_dir))))
+    return got.groupBy(F.col("w.start").cast("string").alias("hour"), "event_type").agg(F.max_by("n", "batch").alias("n"))
