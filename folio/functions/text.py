@@ -23,12 +23,12 @@ def text(c: Column) -> Column:
 
 def squash_space(c: Column) -> Column:
     """Any run of Unicode white space becomes one blank; none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(text(c), " ", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))
 
 
 def fold_text(c: Column) -> Column:
     """Lower case, with no-break and zero-width blanks as white space, squashed."""
-    return squash_space(F.lower(F.translate(text(c), " ​", "  ")))
+    return F.trim(F.regexp_replace(F.lower(text(c)), r"(?U)[\s\x{200B}]+", " "))
 
 
 def loose_text(c: Column) -> Column:
@@ -39,8 +39,8 @@ def loose_text(c: Column) -> Column:
 
 
 def content_text(c: Column) -> Column:
-    """Folded, with runs of other than word characters as one blank."""
-    return F.trim(F.regexp_replace(fold_text(c), r"(?U)[^\w]+", " "))
+    """Lower case, with runs of other than word characters as one blank."""
+    return F.trim(F.regexp_replace(F.lower(text(c)), r"(?U)\W+", " "))
 
 
 def strip_code_fence(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,11 +63,12 @@ def greedy_reuse(ranked: DataFrame, members: list[str], target: int, reuse: int,
 
 def question_classes(questions: DataFrame, key: str, question: str, *order: Column) -> DataFrame:
     """(id, first, tokens) of every row: its token set, and the first row in order (then by key) that has the same set."""
-    tokens = F.array_sort(F.array_distinct(F.split(content_text(F.col(question)), " ")))
+    tokens = F.sort_array(F.array_distinct(F.split(content_text(F.col(question)), " ")))
     rows = questions.select(F.col(key).alias("id"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id")).alias("rank"), tokens.alias("tokens"))
-    rows = rows.withColumn("set", F.sha2(F.array_join("tokens", " "), 256))
+    # both are read several times; the part of a lost executor is computed again
+    rows = rows.withColumn("set", F.sha2(F.array_join("tokens", " "), 256)).persist(StorageLevel.DISK_ONLY)
     first = rows.groupBy("set").agg(F.min("rank").alias("best")).select("set", F.col("best.id").alias("first"))
-    return rows.join(first, "set").select("id", "first", "tokens")
+    return rows.join(first, "set").select("id", "first", "tokens").persist(StorageLevel.DISK_ONLY)
 
 
 def _class_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
