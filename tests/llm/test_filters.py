@@ -164,3 +164,67 @@ def test_odd_quality(odd, none, spark):
 
 def test_shingles_helper_matches_sql_words():
     assert shingles("A b\x0bc") == [("a", "b", "c")] and hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def plain_features(text, weights, insults, second):
+    """A text's features by plain Python over its bytes; ``weights`` gives a word's or a start's lexicon weight."""
+    raw = (text or "").encode()
+    words, at = [], None
+    for i, b in enumerate([*raw, 0]):
+        if toxicity.IN_WORD[b] and i < len(raw):
+            at = i if at is None else at
+        elif at is not None:
+            words.append((at, i))
+            at = None
+    fold = [bytes(toxicity.FOLD[list(raw[a:b])]) for a, b in words]
+    weight = [max([weights(w), *(weights(w, k) for k in toxicity.STEMS if len(w) > k)]) for w in fold]
+    hit = [i for i, w in enumerate(weight) if w]
+    strong = [i for i in hit if weight[i] >= toxicity.STRONG_ODDS]
+    you = [i for i, w in enumerate(fold) if w in second]
+    near = [i for i in hit if any(abs(i - y) <= 5 for y in you)]
+    letter, n, size = toxicity.LETTER, max(len(words), 1), max(len(raw), 1)
+    odd = sum(1 for i in range(1, len(raw) - 1) if letter[raw[i - 1]] and toxicity.STAND_IN[raw[i]] and letter[raw[i + 1]])
+    same = sum(1 for i in range(2, len(raw)) if letter[raw[i]] and raw[i] == raw[i - 1] == raw[i - 2])
+    upper = lambda a, b: sum(65 <= x <= 90 for x in raw[a:b])
+    shout = sum(1 for a, b in words if upper(a, b) > 1 and not any(97 <= x <= 122 for x in raw[a:b]))
+    share = lambda table: sum(bool(table[x]) for x in raw) / size
+    row = [len(strong) / n, np.log1p(len(strong)), sum(weight) / n, max(weight, default=0.0), sum(w in insults for w in fold) / n, len(you) / n, len(near) / n]
+    return [*row, upper(0, len(raw)) / size, shout / n, raw.count(b"!") / size, raw.count(b"?") / size, share(toxicity.PUNCTUATION), odd / n, same / n, np.log1p(len(words))]
+
+
+def test_scores_equal_plain_python(spark):
+    """Features, trees and calibration of the fitted model, recomputed text by text."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
+    entries = dict(zip(model.lexicon.hashes.tolist(), model.lexicon.weights.tolist(), strict=True))
+    known = {}
+
+    def weights(word, k=None):
+        if (word, k) not in known:
+            w = toxicity._Words(np.frombuffer(word, np.uint8), np.zeros(1, np.int64))
+            h = w.full[0] if k is None else next(h for size, (_, h) in zip(toxicity.STEMS, w.stems(), strict=True) if size == k)[0]
+            known[word, k] = entries.get(int(h), 0.0)
+        return known[word, k]
+
+    fold = lambda xs: {bytes(toxicity.FOLD[list(x.encode())]) for x in xs}
+    insults, second = fold(toxicity.INSULTS), fold(toxicity.SECOND_PERSON)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    texts = {k: texts[k] for k in sorted(texts, key=lambda k: len(texts[k] or ""))[:150]}
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
+    for key, text in texts.items():
+        x = plain_features(text, weights, insults, second)
+        raw = model.trees.start
+        for feature, cut, value in model.trees.trees:
+            node = 0
+            for _ in range(model.trees.depth):
+                node = 2 * node + 1 + int(feature[node] >= 0 and x[feature[node]] > cut[node])
+            raw += value[node - (2**model.trees.depth - 1)]
+        assert got[key] == pytest.approx(min(1.0, max(0.0, float(np.interp(raw, *model.knots)))), abs=1e-9)
+
+
+def test_a_repeated_key_is_one_row_of_the_sample(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    once = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
+    many = {r.doc_id: r.score for r in toxicity.score_documents(docs.union(docs).union(docs), labels).collect()}
+    assert once == pytest.approx(many)
