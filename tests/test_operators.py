@@ -197,3 +197,18 @@ def test_stream_equals_batch(spark):
     got = heartbeats.run_to_table(heartbeats.sessions(events), "append")
     total = heartbeats.run_to_table(heartbeats.deduplicated(events).select("event_id"), "append")
     assert got.count() > 0 and total.count() == spark.read.parquet(f"{SMALL}/events.parquet").count()
+
+
+def test_bounded_ratio_equals_the_ratio():
+    import random
+    from difflib import SequenceMatcher
+
+    from folio.operators.graph import bounded_ratio
+
+    rng = random.Random(4)
+    for n in (0, 5, 60, 400, 1500):
+        for _ in range(20):
+            a = "".join(rng.choices("abcdefghij klmnoé0", k=n))
+            b = "".join(c if rng.random() > 0.06 else rng.choice(["", "x", "yz"]) for c in a) if rng.random() < 0.7 else "".join(rng.choices("abcdef ", k=n))
+            true = SequenceMatcher(None, a, b).ratio()
+            assert bounded_ratio(a, b, 0.88) == (true if true >= 0.88 else 0.0) or (true < 0.88 and bounded_ratio(a, b, 0.88) < 0.88)
