@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,3 +61,9 @@ def manifest_hash(key: Column, value: Column) -> Column:
 def assignment_id(original: Column, dataset: Column) -> Column:
     """32 hex digits of the hash of both names."""
     return F.left(F.sha2(F.concat(text(original), F.lit(":"), text(dataset)), 256), F.lit(32))
+
+
+def run_fingerprint(config: dict, files: dict[str, str]) -> str:
+    """Hash of a run's settings and of the hashes of its files, in whatever order both are given."""
+    payload = json.dumps({"config": config, "files": files}, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str)
+    return hashlib.sha256(payload.encode()).hexdigest()

@@ -21,6 +21,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def valid_text(c: Column) -> Column:
+    """Text of bytes or text, broken characters replaced."""
+    return F.make_valid_utf8(c.cast("string"))
+
+
 def squash_space(c: Column) -> Column:
     """Any run of Unicode white space becomes one blank; none at the ends."""
     return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))

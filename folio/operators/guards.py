@@ -27,6 +27,13 @@ def require_total(df: DataFrame, reference: DataFrame, *keys: str) -> DataFrame:
     return _fail_if_any(df, reference.join(df, list(keys), "left_anti"), f"missing {', '.join(keys)}")
 
 
+def require_single(df: DataFrame, column: str) -> DataFrame:
+    """``df``; the job fails if the column has more than one value. Null is a value."""
+    c = F.col(column)
+    seen = df.agg(F.min(c).alias("least"), F.max(c).alias("most"), F.count(c).alias("filled"), F.count("*").alias("n"))
+    return _fail_if_any(df, seen.where("least <> most or filled > 0 and filled < n"), f"mixed {column}")
+
+
 def key_differences(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Keys that only one side has, with the side."""
     a, b = left.select(*keys).distinct(), right.select(*keys).distinct()

@@ -16,6 +16,15 @@ def requirements(mode: Column, answer: Column) -> Column:
     return F.struct(document.alias("structured"), (document & ~is_refusal(answer)).alias("evidence"))
 
 
+def refuse_locked(options: list[str], locked: set[str]) -> list[str]:
+    """Options of a run, without a leading ``--``; one that the protocol fixes is refused."""
+    given = options[1:] if options[:1] == ["--"] else list(options)
+    for option in given:
+        if option.partition("=")[0] in locked:
+            raise ValueError(f"the protocol fixes {option.partition('=')[0]}")
+    return given
+
+
 def direct_match(reference: Column, prediction: Column) -> Column:
     """Verdict that needs no judge: exact, refusal, numeric or blank; else needs_judge."""
     scalars = quantity(reference).isNotNull() & quantity(prediction).isNotNull()

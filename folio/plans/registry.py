@@ -32,4 +32,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import queries_curation, queries_datasets, queries_items, queries_lineage, queries_protocol, queries_ranking, queries_release, queries_reports, queries_review, queries_scoring, queries_text, queries_validation  # noqa: E402, F401
+from . import queries_bindings, queries_curation, queries_datasets, queries_items, queries_lineage, queries_protocol, queries_ranking, queries_release, queries_reports, queries_review, queries_scoring, queries_text, queries_validation  # noqa: E402, F401

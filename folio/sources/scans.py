@@ -6,8 +6,10 @@ import json
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.functions.text import valid_text
 from folio.operators.guards import bind_predictions, last_wins, require_unique
 
 # Keys under which tools wrap a dataset, and names of an item's unit and id.
@@ -43,6 +45,55 @@ def read_json_values(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_values, "path string, place long, value string")
 
 
+def read_json_or(spark: SparkSession, path: str, default: str) -> DataFrame:
+    """As ``read_json_values``; a path that does not exist gives the JSON text ``default`` as its only value."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return read_json_values(spark, path)
+    return spark.createDataFrame([(path, 0, default)], "path string, place long, value string")
+
+
+def paper_items(values: DataFrame) -> DataFrame:
+    """(path, unit_id, unit) of the objects at the top level of each value, but for keys that start with two underscores."""
+    parsed = values.select("path", F.parse_json("value").alias("v"))
+    units = values.sparkSession.sql("select t.path, u.key as unit_id, u.value as unit from {t} as t, lateral variant_explode(t.v) as u", t=parsed)
+    return units.where(~F.startswith("unit_id", F.lit("__")) & F.schema_of_variant("unit").startswith("OBJECT"))
+
+
+def manifest_rows(values: DataFrame) -> DataFrame:
+    """(id, row) of manifests, which are lists of rows with an id: the last row of each; a value that is no list fails the job."""
+    parsed = values.select("path", "place", F.parse_json("value").alias("v"))
+    no_list = F.raise_error(F.concat(F.lit("a manifest must be a list: "), F.col("path"))).cast("boolean")
+    lists = parsed.where(F.when(F.schema_of_variant("v").startswith("ARRAY"), True).otherwise(no_list))
+    rows = values.sparkSession.sql("select t.path, t.place, u.pos, u.value as row from {t} as t, lateral variant_explode(t.v) as u", t=lists)
+    rows = rows.select(F.try_variant_get("row", "$.id", "string").alias("id"), F.to_json("row").alias("row"), F.struct("path", "place", "pos").alias("at"))
+    return rows.groupBy("id").agg(F.max_by("row", "at").alias("row"))
+
+
+def mapping_rows(spark: SparkSession, mapping: dict[str, tuple[str, str]]) -> DataFrame:
+    """(official, custom_subclass, big_class) of a mapping from official categories to pairs."""
+    return spark.createDataFrame([(k, *v) for k, v in mapping.items()], "official string, custom_subclass string, big_class string")
+
+
+def processing_order(rows: DataFrame) -> DataFrame:
+    """Rows (big_class, custom_subclass, official) with their place in the sorted order; a table of some hundred categories."""
+    order = W.orderBy("big_class", "custom_subclass", "official")
+    return rows.withColumn("place", F.row_number().over(order) - 1)
+
+
+def category_search(category: Column, first: str | None = None, last: str | None = None) -> Column:
+    """Search text of a category, within submission dates if they are given."""
+    dates = f" AND submittedDate:[{first} TO {last}]" if first and last else ""
+    return F.concat(F.lit("cat:"), category, F.lit(dates))
+
+
+def tail_text(spark: SparkSession, path: str, most: int = 64_000) -> DataFrame:
+    """(path, tail): the last bytes of each file as text, broken characters replaced. Each file is read whole."""
+    files = spark.read.format("binaryFile").load(path)
+    end = F.when(F.length("content") > most, F.substring("content", -most, most)).otherwise(F.col("content"))
+    return files.select("path", valid_text(end).alias("tail"))
+
+
 def dataset_items(values: DataFrame) -> DataFrame:
     """(path, unit_id, qa_id, unit, qa) of datasets ``{unit: {"QA": {id: item}}}``, wrapped or not; the last two variants.
 

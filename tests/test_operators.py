@@ -7,8 +7,8 @@ import pytest
 from tests.support import SMALL
 from pyspark.sql import functions as F
 
-from folio.functions import numbers, pages, recover, text
-from folio.operators import contracts, graph, guards, ranking, review, scoring
+from folio.functions import hashing, numbers, pages, recover, text
+from folio.operators import bindings, contracts, graph, guards, protocol, ranking, review, scoring
 from folio.sources import scans, sinks
 from folio.streaming import heartbeats
 
@@ -212,3 +212,73 @@ def test_bounded_ratio_equals_the_ratio():
             b = "".join(c if rng.random() > 0.06 else rng.choice(["", "x", "yz"]) for c in a) if rng.random() < 0.7 else "".join(rng.choices("abcdef ", k=n))
             true = SequenceMatcher(None, a, b).ratio()
             assert bounded_ratio(a, b, 0.88) == (true if true >= 0.88 else 0.0) or (true < 0.88 and bounded_ratio(a, b, 0.88) < 0.88)
+
+
+def test_bindings_fail_the_job(spark):
+    run = {"protocol_fingerprint": "f", "qa_source_sha256": "s", "input_mode": "pdf"}
+    rows = spark.createDataFrame([("p", "1", "f", "s", "pdf", "c"), ("__x", "1", "", "", "", "d")], "paper string, qa string, protocol_fingerprint string, qa_source_sha256 string, input_mode string, pdf_corpus_sha256 string")
+    assert bindings.judge_values(rows, "paper", "qa", run).count() == 1
+    for wrong in ({**run, "input_mode": "other"}, {**run, "qa_source_sha256": "t"}):
+        with pytest.raises(Exception, match="inference row"):
+            bindings.judge_values(rows, "paper", "qa", wrong).collect()
+    with pytest.raises(ValueError):
+        bindings.judge_values(rows, "paper", "qa", {**run, "input_mode": " "})
+    mixed = rows.union(rows.withColumn("pdf_corpus_sha256", F.lit(None).cast("string")))
+    with pytest.raises(Exception, match="mixed pdf_corpus_sha256"):
+        bindings.judge_values(mixed, "paper", "qa", run).collect()
+    papers, hashes = spark.createDataFrame([("p",), ("q",)], "paper string"), spark.createDataFrame([("p", "h")], "paper string, pdf_sha256 string")
+    with pytest.raises(Exception, match="missing paper"):
+        bindings.inference_values(papers, hashes, "paper", run, True).collect()
+    assert {r.pdf_sha256 for r in bindings.inference_values(papers, hashes, "paper", run, False).collect()} == {None}
+    with pytest.raises(Exception, match="no provider"):
+        one(spark, bindings.provider_name(F.lit(None).cast("string"), F.lit("m"), {"n": "x"}))
+    with pytest.raises(Exception, match="accepted=3/5"):
+        one(spark, bindings.search_complete(F.lit(3), F.lit(5), F.lit("search_space_exhausted"), F.lit(2), F.lit(2)))
+
+
+def test_responses_that_are_no_responses(spark):
+    rows = [("a", None), ("b", "no json"), ("c", '{"id":"c","items":[1,{"question":"Q","answer":"x"},{"question":" q ","answer":"y"},{"question":"r"}]}'), ("d", '{"id":"d","items":[{"question":"q","answer":"z"}]}'), ("e", '{"id":"e","items":[]}')]
+    got = bindings.response_codes(spark.createDataFrame(rows, "key string, body string"), "key", "body", "id").collect()
+    found = {(r.key, r.item_index): r.codes for r in got}
+    assert found[("a", None)] == found[("b", None)] == ["id_mismatch", "items_not_list"] and found[("e", None)] == []
+    assert found[("c", 0)] == ["item_not_object"] and found[("c", 1)] == [] and found[("c", 3)] == ["empty_question_or_answer"]
+    assert found[("c", 2)] == found[("d", 0)] == ["duplicate_question"]
+    assert one(spark, bindings.response_shape(F.lit(None).cast("string"), F.lit("b"))).response is None
+
+
+def test_drivers_readers(spark, tmp_path):
+    assert [r.value for r in scans.read_json_or(spark, str(tmp_path / "none.json"), "{}").collect()] == ["{}"]
+    (tmp_path / "a.json").write_text('[{"id":1,"x":2},{"id":"1","x":3}]')
+    values = scans.read_json_or(spark, str(tmp_path / "a.json"), "{}")
+    assert [(r.id, json.loads(r.row)["x"]) for r in scans.manifest_rows(values).collect()] == [("1", 3)]
+    with pytest.raises(Exception, match="must be a list"):
+        scans.manifest_rows(scans.read_json_or(spark, str(tmp_path / "none.json"), "{}")).collect()
+    (tmp_path / "log").write_bytes("aéb".encode())
+    assert [scans.tail_text(spark, str(tmp_path / "log"), n).first().tail for n in (1, 2, 3, 9)] == ["b", "�b", "éb", "aéb"]
+    assert [(r.place, r.official) for r in scans.processing_order(scans.mapping_rows(spark, {"b": ("s", "L"), "a": ("t", "L")})).collect()] == [(0, "b"), (1, "a")]
+    assert protocol.refuse_locked(["--", "--a=1"], {"--b"}) == ["--a=1"]
+    with pytest.raises(ValueError):
+        protocol.refuse_locked(["--b=1"], {"--b"})
+    assert hashing.run_fingerprint({"a": 1, "b": 2}, {}) == hashing.run_fingerprint({"b": 2, "a": 1}, {}) != hashing.run_fingerprint({"a": 1}, {})
+
+
+def test_candidates_and_references(spark):
+    sources = spark.createDataFrame([("b", d, 10 * d - 9, 10 * d) for d in (1, 2, 3)], "bundle string, doc_number int, merged_start int, merged_end int")
+    schema = "bundle string, candidate_id string, question string, answer string, conclusion string, failures array<string>, pages array<int>, support array<struct<doc_number:int,page:int,fact:string>>"
+    good = [(1, 1, "f"), (2, 11, "f"), (3, 21, "f"), (3, 11, "f"), (1, 2, "f"), (1, 1, " ")]
+    rows = [("b", str(i), "q", "a", "c", ["x"] * 3, [21, 1, 11, 1], good) for i in range(7)]
+    rows[1] = (*rows[1][:5], ["x", "y"], *rows[1][6:])
+    rows[2] = (*rows[2][:6], [1, 11], good)
+    rows[3] = (*rows[3][:7], good[:2])
+    rows[4] = ("z", *rows[4][1:])
+    rows[5] = (*rows[5][:6], None, None)
+    rows[6] = (rows[6][0], " ", *rows[6][2:])
+    got = bindings.challenge_candidates(spark.createDataFrame(rows, schema), sources, "both").collect()
+    assert [(r.candidate_id, r.pages, [tuple(s) for s in r.support]) for r in got] == [("0", [1, 11, 21], good[:3])]
+    with pytest.raises(Exception, match="unmapped_page"):
+        bindings.evidence_page_sources(spark.createDataFrame([("b", ["table"], [31])], "bundle string, modalities array<string>, pages array<int>"), sources).collect()
+    none = F.lit(None).cast("string")
+    case = lambda path, aliases, sha=none, sent=F.lit(False): one(spark, bindings.rescorable(F.lit("q"), F.lit("q"), F.array(sent), F.lit(path), aliases, F.lit(None).cast("int"), F.lit(3), sha, F.lit("h")))
+    alias = F.array(F.lit("d/a.pdf"))
+    assert case("d/a.pdf", alias) and case("x/d/a.pdf", alias, F.lit("h")) and not case("xd/a.pdf", alias)
+    assert not (case("d/a.pdf", alias, F.lit("g")) or case("d/a.pdf", F.lit(None).cast("array<string>")) or case("d/a.pdf", alias, none, F.lit(None).cast("boolean")))
