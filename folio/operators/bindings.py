@@ -138,6 +138,31 @@ def inference_values(papers: DataFrame, hashes: DataFrame, key: str, run: dict,
     return rows.withColumns({k: F.lit(v) for k, v in run.items()})
 
 
+def pinned(existing: DataFrame, current: DataFrame, key: str, *fields: str) -> DataFrame:
+    """Current manifests to write: new ones, and those that are as they were; a change of a field fails the job."""
+    old = existing.select(key, F.lit(True).alias("_old"), *[F.col(f).alias(f"_{f}") for f in fields])
+    rows = current.join(old, key, "left")
+    changed = codes(*[rule(F.col("_old") & ~F.col(f).eqNullSafe(F.col(f"_{f}")), f"changed_{f}") for f in fields])
+    return assert_clean(rows, changed, "manifest").select(key, *fields)
+
+
+def manifest_codes(body: Column, source: Column, expected: dict[str, Column], needed: tuple[str, ...]) -> Column:
+    """Codes of a judge's manifest (JSON text): its version, source and metadata, and that provider and settings agree.
+
+    ``expected`` are values of the metadata; ``needed`` are fields of it that must be filled.
+    """
+    at = lambda path: F.get_json_object(body, f"$.{path}")
+    empty = ("", "{}", "[]", "0", "false")
+    provider, config = at("metadata.judge_provider_identity.provider_name"), at("metadata.judge_config.judge_provider_name")
+    return codes(
+        rule(F.coalesce(at("version").try_cast("int"), F.lit(0)) < 2, "old_manifest"),
+        rule(~at("source_sha256").eqNullSafe(source), "source_mismatch"),
+        *[rule(~at(f"metadata.{k}").eqNullSafe(v), f"{k}_mismatch") for k, v in expected.items()],
+        *[rule(at(f"metadata.{k}").isNull() | at(f"metadata.{k}").isin(*empty), f"no_{k}") for k in needed],
+        rule(~provider.eqNullSafe(config), "provider_mismatch"),
+    )
+
+
 def record_codes(structured: Column, evidence: Column, wanted: Column, shown: Column, reference: Column) -> Column:
     """Codes of an inference record whose flags or pages contradict ``wanted``, the struct (structured, evidence) of its mode."""
     none = lambda pages: F.coalesce(F.size(pages), F.lit(0)) == 0

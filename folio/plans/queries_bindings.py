@@ -91,6 +91,21 @@ def inference_value_contract(t: Tables) -> DataFrame:
     return bindings.inference_values(hashes.select("paper").union(marks), hashes, "paper", {"protocol_fingerprint": "f", "input_mode": "pdf", "max_pdf_pages": 64}, True)
 
 
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def pinned_manifests(t: Tables) -> DataFrame:
+    return bindings.pinned(t.nation.where("n_nationkey % 2 = 0"), t.nation, "n_nationkey", "n_name", "n_regionkey")
+
+
+@query("""with c as (select unnest(list_concat(list_concat(case when p_partkey % 3 = 0 then ['old_manifest'] else [] end, case when p_partkey % 5 = 0 then ['source_mismatch'] else [] end), list_concat(list_concat(case when p_size % 2 = 0 then ['stage_mismatch'] else [] end,
+ case when p_partkey % 7 = 0 then ['no_judge_config'] else [] end), case when p_size % 3 > 0 or p_partkey % 7 = 0 then ['provider_mismatch'] else [] end))) as code from part) select code, count(*) n from c group by code""")
+def judge_manifests(t: Tables) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    config = F.when(k % 7 > 0, F.struct(F.concat(F.lit("m"), (size % 3).cast("string")).alias("judge_provider_name")))
+    metadata = F.struct(F.when(size % 2 == 1, "judge").otherwise("inference").alias("stage"), config.alias("judge_config"), F.struct(F.lit("m0").alias("provider_name")).alias("judge_provider_identity"))
+    body = F.to_json(F.struct(F.when(k % 3 > 0, 2).alias("version"), F.when(k % 5 > 0, F.col("p_name")).alias("source_sha256"), metadata.alias("metadata")))
+    return count_codes(t.part, bindings.manifest_codes(body, F.col("p_name"), {"stage": F.lit("judge")}, ("judge_config", "judge_provider_identity")))
+
+
 @query("""with x as (select p_partkey k, p_size % 3 > 0 doc, p_size % 3 > 0 and p_partkey % 4 <> 0 ev from part),
 c as (select unnest(list_concat(list_concat(case when doc <> (k % 5 > 0) then ['structured_mismatch'] else [] end, case when ev <> (k % 3 > 0) then ['evidence_mismatch'] else [] end), list_concat(case when doc and k % 7 = 0 then ['no_shown_pages'] else [] end,
  list_concat(case when doc and ev and k % 2 = 0 then ['no_gold_pages'] else [] end, case when doc and not ev and k % 2 = 1 then ['gold_pages_of_refusal'] else [] end)))) as code from x) select code, count(*) n from c group by code""")

@@ -230,6 +230,8 @@ def test_bindings_fail_the_job(spark):
     with pytest.raises(Exception, match="missing paper"):
         bindings.inference_values(papers, hashes, "paper", run, True).collect()
     assert {r.pdf_sha256 for r in bindings.inference_values(papers, hashes, "paper", run, False).collect()} == {None}
+    with pytest.raises(Exception, match="changed_pdf_sha256"):
+        bindings.pinned(hashes, hashes.withColumn("pdf_sha256", F.lit(None).cast("string")), "paper", "pdf_sha256").collect()
     with pytest.raises(Exception, match="no provider"):
         one(spark, bindings.provider_name(F.lit(None).cast("string"), F.lit("m"), {"n": "x"}))
     with pytest.raises(Exception, match="accepted=3/5"):
