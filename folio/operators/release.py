@@ -200,9 +200,16 @@ def apply_modalities(items: DataFrame, decisions: DataFrame, key: str) -> DataFr
     return joined.withColumns({"previous": F.col("modalities"), "modalities": new}).drop("_new")
 
 
-def rewrite_paths(rows: DataFrame, path: str, mapping: DataFrame) -> DataFrame:
-    """Rows with old paths replaced by new ones of ``mapping(old, new)``; others stay."""
-    return rows.join(mapping.select(F.col("old").alias(path), "new"), path, "left").withColumn(path, F.coalesce("new", path)).drop("new")
+def rewrite_paths(rows: DataFrame, path: str, mapping: DataFrame, *within: str) -> DataFrame:
+    """Rows with old paths replaced by new ones of ``mapping(*within, old, new)``; others stay.
+
+    With ``within``, a path is replaced only in rows of the mapping's key: the same path may have another new one elsewhere.
+    """
+    m = mapping.select(*[F.col(c).alias(f"_m_{c}") for c in within], F.col("old").alias("_old"), F.col("new").alias("_new"))
+    on = F.col(path).eqNullSafe(F.col("_old"))
+    for c in within:
+        on = on & (F.col(c) == F.col(f"_m_{c}"))
+    return rows.join(m, on, "left").withColumn(path, F.coalesce("_new", path)).select(*rows.columns)
 
 
 def exact_candidates(rows: DataFrame, gold: DataFrame, document: str, question: str, key: str) -> DataFrame:

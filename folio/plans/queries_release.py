@@ -156,8 +156,9 @@ def modality_decisions(t: Tables) -> DataFrame:
 
 @query("select page_id, case when page_id % 3 = 0 then 'assets/' || page_id || '.pdf' else url end as path from pages")
 def rewritten_paths(t: Tables) -> DataFrame:
-    mapping = t.pages.where("page_id % 3 = 0").groupBy(F.col("url").alias("old")).agg(F.concat(F.lit("assets/"), F.min("page_id").cast("string"), F.lit(".pdf")).alias("new"))
-    return release.rewrite_paths(t.pages.select("page_id", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.col("url")).alias("path")), "path", mapping).select("page_id", "path")
+    new = F.concat(F.lit("assets/"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("new")
+    mapping = t.pages.where("page_id % 3 = 0").select("page_id", F.col("url").alias("old"), new).distinct()  # pages may share a URL
+    return release.rewrite_paths(t.pages.select("page_id", F.col("url").alias("path")), "path", mapping, "page_id").select("page_id", "path")
 
 
 @query(f"""with g as (select source, {folded('text')} q, list_sort(list(doc_id)) c from documents where doc_id % 2 = 0 group by all) select d.doc_id, coalesce(array_to_string(g.c, ','), '') as candidates from documents d left join g on g.source = d.source and g.q = {folded('d.text')}""")
