@@ -83,9 +83,24 @@ def null_safe_mismatches(left: DataFrame, right: DataFrame, key: str, fields: li
 
 
 def range_lookup(points: DataFrame, ranges: DataFrame, bundle: str, point: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """Points with the ranges of their bundle that hold them: an equi join on the bundle and a between filter."""
-    on = (points[bundle] == ranges[bundle]) & points[point].between(ranges[start], ranges[end])
-    return points.join(ranges, on, how).drop(ranges[bundle])
+    """Points (whole numbers) with the ranges of their bundle that hold them; how is inner or left.
+
+    A range of fewer than 2 ** k numbers lies in at most two adjacent cells of that width, so a point meets only the ranges
+    in its own cell of each width that its bundle has: no scan of a bundle's ranges. Each point is looked up once, however
+    many rows ask for it; ranges may overlap.
+    """
+    first, last = F.col(start).cast("long"), F.col(end).cast("long")
+    level = F.coalesce(F.length(F.bin(F.try_subtract(last, first))), F.lit(63))  # 2 ** level is the next power above last - first
+    cell = lambda c, k: F.expr(f"shiftright({c}, {k})")
+    r = ranges.where(first <= last).select(F.col(bundle).alias("_b"), F.struct(*ranges.columns).alias("_r"), first.alias("_s"), last.alias("_e"), level.alias("_k"))
+    r = r.withColumn("_c", F.explode(F.array_distinct(F.array(cell("_s", "_k"), cell("_e", "_k")))))
+    asked = points.select(F.col(bundle).alias("_b"), F.col(point).cast("long").alias("_p")).where("_b is not null and _p is not null").distinct()
+    widths = r.select("_b", "_k").distinct()
+    cells = asked.join(widths, "_b").withColumn("_c", cell("_p", "_k"))
+    found = cells.join(r, ["_b", "_k", "_c"]).where("_p between _s and _e").select("_b", "_p", "_r")
+    rest = [c for c in ranges.columns if c != bundle]
+    on = (points[bundle] == found["_b"]) & (points[point].cast("long") == found["_p"])
+    return points.join(found, on, how).select(*[points[c] for c in points.columns], *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def last_wins(df: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -1,8 +1,12 @@
 """Queries against their SQL on tables that the small fixtures do not show: large keys, repeated values, odd ranges."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 from tests.support import same_rows
 
+from folio.operators import guards
 from folio.plans import registry
 
 
@@ -23,3 +27,28 @@ def test_rewritten_paths_of_shared_urls(spark, tmp_path):
 def test_identifiers_of_long_keys(spark, tmp_path):
     rows = [(1, "A B"), (999999, "A"), (1000001, "A"), (12345678, "x/y"), (None, "A"), (7, None)]
     against_sql(spark, tmp_path, "identifiers", part=(rows, "p_partkey long, p_type string"))
+
+
+def test_range_lookup_equals_all_pairs(spark):
+    rng = random.Random(4)
+    points = [(i, rng.choice("abcd"), rng.choice([None, rng.randint(-40, 90)])) for i in range(300)] + [(300, None, 5), (301, "a", 2**40)]
+    ranges = [(rng.choice("abc"), s, s + rng.choice([-2, 0, 1, 7, 8, 31, 120]), i) for i in range(60) for s in [rng.randint(-50, 80)]]
+    ranges += [(None, 0, 9, 60), ("a", None, 9, 61), ("a", -(2**62), 2**62, 62)]  # a range of nearly all numbers
+    p, r = spark.createDataFrame(points, "i long, g string, p long"), spark.createDataFrame(ranges, "g string, s long, e long, d long")
+    holds = lambda g, x: [d for h, s, e, d in ranges if None not in (g, x, h, s, e) and g == h and s <= x <= e]
+    inner = [(i, d) for i, g, x in points for d in holds(g, x)]
+    left = [(i, d) for i, g, x in points for d in holds(g, x) or [None]]
+    for how, want in (("inner", inner), ("left", left)):
+        got = guards.range_lookup(p, r, "g", "p", "s", "e", how)
+        assert got.columns == ["i", "g", "p", "s", "e", "d"]
+        assert sorted(map(str, ((x.i, x.d) for x in got.collect()))) == sorted(map(str, want))
+
+
+def test_range_lookup_reads_no_whole_bundle(spark):
+    """One bundle of many ranges: an equi join on the bundle alone would meet 400 million pairs."""
+    p = spark.range(20000).select(F.lit("a").alias("g"), (F.col("id") * 7 % 100000).alias("p"))
+    r = spark.range(20000).select(F.lit("a").alias("g"), (F.col("id") * 5).alias("s"), (F.col("id") * 5 + 4).alias("e"))
+    found = guards.range_lookup(p, r, "g", "p", "s", "e")
+    assert found.count() == 20000
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "_s" in x]
+    assert joins and all("_c" in x for x in joins)
