@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -62,33 +64,97 @@ def greedy_reuse(ranked: DataFrame, members: list[str], target: int, reuse: int,
     return out
 
 
-def question_classes(questions: DataFrame, key: str, question: str, *order: Column) -> DataFrame:
-    """(id, first, tokens) of every row: its token set, and the first row in order (then by key) that has the same set."""
+BUCKETS = 1 << 20  # counters of the token sketch: fixed, whatever the input
+SIGN_BITS = 1024
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(joined: pd.Series) -> pd.Series:
+    return joined.map(lambda x: zlib.compress(x.encode(), 6))
+
+
+def _words(packed: bytes) -> list[str]:
+    return zlib.decompress(packed).decode().split(" ")
+
+
+def _keys(packed: bytes) -> np.ndarray:
+    """A hash of each token: equal tokens have equal ones, so it may find too many candidates but loses none."""
+    return np.fromiter((zlib.crc32(w.encode()) for w in _words(packed)), np.int64)
+
+
+def _token_sets(questions: DataFrame, key: str, question: str, *order: Column) -> DataFrame:
+    """(id, rank, set, joined, n): each row's token set as sorted text, its hash and its size."""
     tokens = F.sort_array(F.array_distinct(F.split(content_text(F.col(question)), " ")))
     rows = questions.select(F.col(key).alias("id"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id")).alias("rank"), tokens.alias("tokens"))
-    # both are read several times; the part of a lost executor is computed again
-    rows = rows.withColumn("set", F.sha2(F.array_join("tokens", " "), 256)).persist(StorageLevel.DISK_ONLY)
-    first = rows.groupBy("set").agg(F.min("rank").alias("best")).select("set", F.col("best.id").alias("first"))
-    return rows.join(first, "set").select("id", "first", "tokens").persist(StorageLevel.DISK_ONLY)
+    rows = rows.select("id", "rank", F.array_join("tokens", " ").alias("joined"), F.size("tokens").alias("n"))
+    return rows.withColumn("set", F.unhex(F.sha2("joined", 256)))
+
+
+def question_classes(questions: DataFrame, key: str, question: str, *order: Column) -> DataFrame:
+    """(set, id, n, packed) of every token set: the first row in order (then by key) that has it, its size and packed tokens."""
+    rows = _token_sets(questions, key, question, *order).withColumn("packed", _packed("joined"))
+    best = rows.groupBy("set").agg(F.min(F.struct("rank", "n", "packed")).alias("best"))
+    # read several times; the part of a lost executor is computed again
+    return best.select("set", F.col("best.rank.id").alias("id"), F.col("best.n").alias("n"), F.col("best.packed").alias("packed")).persist(StorageLevel.DISK_ONLY)
+
+
+def _token_counts(classes: DataFrame) -> np.ndarray:
+    """How many sets have a token of each bucket: an order from rare to common, of fixed size."""
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for packed in batch["packed"]:
+                np.add.at(total, _keys(packed) % BUCKETS, 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            yield pd.DataFrame({"bucket": at[i : i + (1 << 16)], "n": total[at[i : i + (1 << 16)]]})
+
+    counted = classes.select("packed").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    return out
 
 
 def _class_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, common, total) of token sets ``classes(id, tokens)`` with a Jaccard similarity of num / den or more.
+    """(a, b, common, total) of token sets ``classes(id, n, packed)`` with a Jaccard similarity of num / den or more.
 
-    Tokens are ordered from rare to common; two such sets share a token in their prefixes, so only these are joined.
+    Tokens are ordered from rare to common; two such sets share a token in their prefixes, so only these are joined. What
+    is shuffled is one hash for each prefix token. Parities of token hashes bound a pair's difference from below and rule
+    out most candidates before packed sets are fetched; the rest is compared token by token.
     """
-    rows = classes.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = rows.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("id").orderBy("df", "token"))
-    prefix = rows.join(df, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    counts = classes.sparkSession.sparkContext.broadcast(_token_counts(classes).astype(np.int32))
+
+    def signed(batches):
+        for batch in batches:
+            signs, prefixes = [], []
+            for packed, n in zip(batch["packed"], batch["n"], strict=True):
+                keys = _keys(packed)
+                signs.append(np.packbits((np.bincount(keys >> 22, minlength=SIGN_BITS) & 1).astype(np.uint8)).tobytes())
+                prefixes.append(keys[np.lexsort((keys, counts.value[keys % BUCKETS]))][: n - -(-n * num // den) + 1])
+            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "sign": signs, "prefix": prefixes})
+
+    @F.pandas_udf(T.IntegerType())
+    def differing(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([(int.from_bytes(x) ^ int.from_bytes(y)).bit_count() for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    @F.pandas_udf(T.IntegerType())
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(set(_words(x)).intersection(_words(y))) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    kind = classes.schema["id"].dataType.simpleString()
+    marks = classes.select("id", "n", "packed").mapInPandas(signed, f"id {kind}, n int, sign binary, prefix array<long>").persist(StorageLevel.DISK_ONLY)
+    prefix = marks.select("id", "n", F.posexplode("prefix").alias("place", "token"))
     x, y = prefix.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")), prefix.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     # what is left from the shared token on must reach the overlap that the similarity asks for
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1 >= F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
     pairs = x.join(y, "token").where(fits & reach).select("a", "b").distinct()
-    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(classes.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    out = both.select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb") - common).alias("total"))
+    side = lambda df, end, *cols: df.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in cols])
+    near = pairs.join(side(marks, "a", "n", "sign"), "a").join(side(marks, "b", "n", "sign"), "b")
+    near = near.where(differing("sign_a", "sign_b") * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"))
+    found = near.join(side(classes, "a", "packed"), "a").join(side(classes, "b", "packed"), "b")
+    out = found.select("a", "b", "both", shared("packed_a", "packed_b").alias("common")).select("a", "b", "common", (F.col("both") - F.col("common")).alias("total"))
     return out.where(F.col("common") * den >= F.col("total") * num)
 
 
@@ -98,9 +164,9 @@ def near_duplicate_questions(questions: DataFrame, key: str, question: str, num:
     Rows of one token set are one class: links join the smallest keys of classes, and each other row its class's smallest
     key, so that N copies make N - 1 rows. A null or blank question has the set of one empty token.
     """
-    rows = question_classes(questions, key, question)
-    pairs = _class_pairs(rows.where("id = first").select("id", "tokens"), num, den)
-    return pairs.union(rows.where("id <> first").select("first", "id", F.size("tokens"), F.size("tokens")))
+    classes = question_classes(questions, key, question)
+    copies = _token_sets(questions, key, question).select("set", F.col("id").alias("b")).join(classes.select("set", F.col("id").alias("a"), "n"), "set").where("a <> b")
+    return _class_pairs(classes, num, den).union(copies.select("a", "b", "n", "n"))
 
 
 def keep_distinct(items: DataFrame, key: str, question: str, *order: Column, num: int = 80, den: int = 100) -> DataFrame:
@@ -108,8 +174,7 @@ def keep_distinct(items: DataFrame, key: str, question: str, *order: Column, num
 
     Of rows of one token set only the first can stay: whatever drops it drops the later ones, and if it stays it does.
     """
-    rows = question_classes(items, key, question, *order)
-    first = rows.where("id = first").select("id", "tokens")
+    first = question_classes(items, key, question, *order)
     best = items.join(first.select(F.col("id").alias(key)), key, "left_semi")
     return keep_first(best, _class_pairs(first, num, den).select("a", "b"), key, *order)
 

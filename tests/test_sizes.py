@@ -1,12 +1,14 @@
 """Queries against their SQL on tables that the small fixtures do not show: large keys, repeated values, odd ranges."""
 
+import itertools
 import random
+import re
 
 import duckdb
 from pyspark.sql import functions as F
 from tests.support import same_rows
 
-from folio.operators import guards
+from folio.operators import graph, guards
 from folio.plans import registry
 
 
@@ -52,3 +54,25 @@ def test_range_lookup_reads_no_whole_bundle(spark):
     assert found.count() == 20000
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "_s" in x]
     assert joins and all("_c" in x for x in joins)
+
+
+def test_question_pairs_equal_all_pairs(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(3, 60))] for _ in range(25)]
+    texts = [" ".join(rng.choice(["zz", x]) if rng.random() < 0.08 else x for x in rng.choice(base)) for _ in range(250)] + [None, "", " - ", "Aa bb", "bb, AA!"]
+    sets = [set(re.sub(r"\W+", " ", (x or "").lower()).strip().split(" ")) for x in texts]
+    first = [sets.index(s) for s in sets]
+    want = {(first[i], i, len(s), len(s)) for i, s in enumerate(sets) if first[i] != i}
+    reps = sorted(set(first))
+    want |= {(i, j, len(sets[i] & sets[j]), len(sets[i] | sets[j])) for i, j in itertools.combinations(reps, 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    got = graph.near_duplicate_questions(spark.createDataFrame(list(enumerate(texts)), "k long, q string"), "k", "q")
+    assert len(want) > 60 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_question_pairs_shuffle_no_token_texts(spark):
+    """What is dealt out by token is a number, and whole sets are fetched packed: texts of tokens fill the disk."""
+    rows = spark.createDataFrame([(1, "a b"), (2, "a c")], "k long, q string")
+    plan = graph.near_duplicate_questions(rows, "k", "q")._jdf.queryExecution().optimizedPlan()
+    kinds = {(x.name(), x.dataType().simpleString()) for n in [plan.collectLeaves()] for i in range(n.size()) for o in [n.apply(i).output()] for x in [o.apply(j) for j in range(o.size())]}
+    assert {("packed", "binary"), ("prefix", "array<bigint>")} <= kinds
+    assert not any(kind == "array<string>" for _, kind in kinds)
