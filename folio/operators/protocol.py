@@ -66,12 +66,27 @@ def prefer_new_prefixes(rows: DataFrame, group: str, prefix: str, limit: int, *o
 
 
 def spread_subsets(rows: DataFrame, group: str, key: str, page: str, least: int, limit: int) -> DataFrame:
-    """Pairs of items of a group by how far apart their pages lie, widest first, ``limit`` a group."""
-    a = rows.select(group, F.col(key).alias("a"), F.col(page).alias("pa"))
-    b = rows.select(group, F.col(key).alias("b"), F.col(page).alias("pb"))
-    pairs = a.join(b, group).where("a < b").withColumn("span", F.abs(F.col("pa") - F.col("pb"))).where(F.col("span") >= least)
+    """Pairs of items of a group by how far apart their pages lie, widest first, ``limit`` a group.
+
+    No pair is among the best if ``limit`` others with one of its ends are better, so only rows are paired that can be:
+    of each page the ``limit + 1`` smallest keys, below the pages that ``limit + 1`` keys begin with, above those that as
+    many end with (one of these keys may be the other end itself), and of equal rows ``limit``.
+    """
+    known = rows.select(group, F.col(key).alias("_k"), F.col(page).alias("_p")).dropna()
+    small = W.partitionBy(group, "_p").orderBy("_k")
+    first = known.groupBy(group, "_p", "_k").agg(F.least(F.count("*"), F.lit(limit)).cast("int").alias("_n")).withColumn("_i", F.row_number().over(small)).where(F.col("_i") <= limit + 1)
+    reach = known.groupBy(group, "_k").agg(F.min("_p").alias("_low"), F.max("_p").alias("_high"))
+
+    def bound(c: Column) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(group).orderBy(c))
+        return reach.withColumn("_i", place).where(F.col("_i") <= limit + 1).where(F.col("_i") == limit + 1).select(group, F.col("_low").alias("_most"), F.col("_high").alias("_least"))
+
+    each = first.select(group, "_p", "_k", F.explode(F.array_repeat(F.lit(1), F.col("_n"))).alias("_copy"))
+    low = each.join(bound(F.asc("_low")).select(group, "_most"), group, "left").where("_most is null or _p <= _most").select(group, F.col("_k").alias("x"), F.col("_p").alias("px"))
+    high = each.join(bound(F.desc("_high")).select(group, "_least"), group, "left").where("_least is null or _p >= _least").select(group, F.col("_k").alias("y"), F.col("_p").alias("py"))
+    pairs = low.join(high, group).where("px < py and x <> y or px = py and x < y").withColumn("span", F.col("py") - F.col("px")).where(F.col("span") >= least)
     best = W.partitionBy(group).orderBy(F.desc("span"), "a", "b")
-    return pairs.select(group, "a", "b", "span").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return pairs.select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "span").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
 def quotas(categories: DataFrame, key: str, low: int, high: int) -> DataFrame:

@@ -5,10 +5,11 @@ import random
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 from tests.support import same_rows
 
-from folio.operators import graph, guards
+from folio.operators import graph, guards, protocol
 from folio.plans import registry
 
 
@@ -76,3 +77,23 @@ def test_question_pairs_shuffle_no_token_texts(spark):
     kinds = {(x.name(), x.dataType().simpleString()) for n in [plan.collectLeaves()] for i in range(n.size()) for o in [n.apply(i).output()] for x in [o.apply(j) for j in range(o.size())]}
     assert {("packed", "binary"), ("prefix", "array<bigint>")} <= kinds
     assert not any(kind == "array<string>" for _, kind in kinds)
+
+
+@pytest.mark.parametrize("keys,pages,least", [(400, 60, 10), (400, 3, 1), (12, 60, 0), (4, 5, 0), (90, 10**6, 10)])
+def test_spread_subsets_equal_all_pairs(spark, keys, pages, least):
+    rng = random.Random(keys + pages)
+    rows = [(g, rng.randrange(keys), rng.randrange(pages)) for g in "abc" for _ in range(150)] + [("d", 1, 5), ("d", 2, 90), (None, 3, 4), ("a", None, 1), ("a", 2, None)]
+    want = []
+    for g in "abcd":
+        mine = [(k, p) for h, k, p in rows if h == g and None not in (k, p)]
+        every = sorted((-abs(p - q), k, m) for (k, p), (m, q) in itertools.product(mine, mine) if k < m and abs(p - q) >= least)
+        want += [(g, k, m, -s, i + 1) for i, (s, k, m) in enumerate(every[:5])]
+    got = protocol.spread_subsets(spark.createDataFrame(rows, "g string, k long, p int"), "g", "k", "p", least, 5)
+    assert sorted(map(tuple, got.select("g", "a", "b", "span", "rank").collect())) == sorted(want)
+
+
+def test_spread_subsets_of_a_large_group(spark):
+    """All pairs of this group would be two billion."""
+    rows = spark.range(60000).select(F.lit("g").alias("g"), F.col("id").alias("k"), (F.col("id") % 50).cast("int").alias("p"))
+    got = protocol.spread_subsets(rows, "g", "k", "p", 10, 5).collect()
+    assert [(r.a, r.b, r.span) for r in got] == [(0, 49, 49), (0, 99, 49), (0, 149, 49), (0, 199, 49), (0, 249, 49)]
