@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from difflib import SequenceMatcher
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,6 +14,8 @@ from pyspark.sql import types as T
 
 from folio.functions.text import content_text, key_terms
 
+from .ratios import bounded_ratio, ratio_pairs  # noqa: F401
+
 
 def term_postings(papers: DataFrame, key: str, terms: Column, least: int = 2, most: int = 50) -> DataFrame:
     """(term, paper, df) of terms that at least ``least`` and at most ``most`` papers have.
@@ -179,62 +179,6 @@ def keep_distinct(items: DataFrame, key: str, question: str, *order: Column, num
     return keep_first(best, _class_pairs(first, num, den).select("a", "b"), key, *order)
 
 
-@lru_cache(4096)
-def _matcher(b: str) -> SequenceMatcher:
-    """The matcher of a second text, whose index is the dear part; of a long text the index keeps only rare characters."""
-    return SequenceMatcher(None, "", b)
-
-
-def bounded_ratio(a: str, b: str, threshold: float) -> float:
-    """The sequence ratio of two texts, or 0 as soon as what is matched and what can still be stays below ``threshold``."""
-    m = _matcher(b)
-    m.set_seq1(a)
-    whole, found = len(a) + len(b), 0
-    open_, hope = [(0, len(a), 0, len(b))], min(len(a), len(b))
-    while open_:
-        alo, ahi, blo, bhi = open_.pop()
-        hope -= min(ahi - alo, bhi - blo)
-        i, j, size = m.find_longest_match(alo, ahi, blo, bhi)
-        if size:
-            found += size
-            for part in ((alo, i, blo, j), (i + size, ahi, j + size, bhi)):
-                if part[0] < part[1] and part[2] < part[3]:
-                    open_.append(part)
-                    hope += min(part[1] - part[0], part[3] - part[2])
-        if 2 * (found + hope) < threshold * whole:
-            return 0.0
-    return 2 * found / whole if whole else 1.0
-
-
-def _ratio(left: Column, right: Column, threshold: float) -> Column:
-    @F.pandas_udf(T.DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([bounded_ratio(x or "", y or "", threshold) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    return run(left, right)
-
-
-def ratio_pairs(questions: DataFrame, key: str, question: str, threshold: float) -> DataFrame:
-    """(a, b, ratio) of questions whose sequence ratio reaches the threshold; the argument order is (later, earlier).
-
-    Length bounds and the character histogram rule out most pairs in the JVM: 2 * common characters / both lengths is an
-    upper bound of the ratio. A pair meets in the buckets of its lengths, at most one step apart.
-    """
-    step = (2 - threshold) / threshold  # the longest partner's length over the own
-    rows = questions.select(F.col(key).alias("id"), content_text(F.col(question)).alias("q")).where("q <> ''")
-    letters = F.array(*[F.lit(x) for x in "abcdefghijklmnopqrstuvwxyz0123456789 "])
-    known = F.transform(letters, lambda x: F.length("q") - F.length(F.replace(F.col("q"), x, F.lit(""))))
-    counts = F.concat(known, F.array(F.length(F.regexp_replace("q", "[a-z0-9 ]", ""))))  # once a row, not once a pair
-    bucket = F.floor(F.log(F.length("q").cast("double")) / F.log(F.lit(step))).cast("int")
-    rows = rows.withColumns({"n": F.length("q"), "counts": counts, "bucket": bucket})
-    left = rows.select(F.col("id").alias("a"), F.col("q").alias("qa"), F.col("n").alias("na"), F.col("counts").alias("ca"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    right = rows.select(F.col("id").alias("b"), F.col("q").alias("qb"), F.col("n").alias("nb"), F.col("counts").alias("cb"), "bucket")
-    both = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    near = (F.col("a") > F.col("b")) & (2 * F.least("na", "nb") >= threshold * (F.col("na") + F.col("nb"))) & (2 * both >= threshold * (F.col("na") + F.col("nb")))
-    pairs = left.join(right, "bucket").where(near).select("a", "b", "qa", "qb")
-    return pairs.withColumn("ratio", _ratio(F.col("qa"), F.col("qb"), threshold)).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
-
-
 def keep_first(items: DataFrame, pairs: DataFrame, key: str, *order: Column) -> DataFrame:
     """Rows in rank order without those that a kept earlier row duplicates; pairs are (a, b).
 
