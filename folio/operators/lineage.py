@@ -27,6 +27,20 @@ def documents_of_pages(items: DataFrame, ranges: DataFrame, key: str, bundle: st
     return items.join(one.groupBy(key).agg(F.array_sort(F.collect_set(document)).alias("documents")), key, "left")
 
 
+def count_mapped(cited: DataFrame, ranges: DataFrame, bundle: str, item: str, page: str, start: str, end: str, document: str) -> DataFrame:
+    """Distinct documents, pages, and pages without a document of each item of a bundle; pages may lie in several documents.
+
+    Only the distinct pages of a bundle are looked up. A page counts in the first of its documents, a null one before the
+    others, so that one distinct aggregate is enough.
+    """
+    asked = cited.select(bundle, F.coalesce(page, F.lit(0)).alias(page)).distinct()  # not null: without a filter, both uses of ``cited`` share its shuffles
+    docs = range_lookup(asked, ranges.select(bundle, start, end, document), bundle, page, start, end).select(bundle, page, document).distinct()
+    docs = docs.withColumn("_first", F.row_number().over(W.partitionBy(bundle, page).orderBy(F.col(document).asc_nulls_first())) == 1)
+    each = cited.select(bundle, item, page).join(docs, [bundle, page], "left").groupBy(bundle, item, page, document).agg(F.any_value("_first").alias("_first"))
+    pages = F.count(F.when(F.coalesce("_first", F.lit(True)), F.col(page)))
+    return each.groupBy(bundle, item).agg(F.count_distinct(document).alias("docs"), pages.alias("pages"), F.count(F.when(F.col(document).isNull(), F.col(page))).alias("unmapped"))
+
+
 def bundle_plan(members: DataFrame, bundle: str, order: str, size: str) -> DataFrame:
     """Bundle manifest: ordered sources with first and last merged page, one row a bundle."""
     upto = W.partitionBy(bundle).orderBy(order).rowsBetween(W.unboundedPreceding, 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators import aggregates, guards, scoring
+from folio.operators import aggregates, guards, lineage, scoring
 
 from .registry import Tables, query
 
@@ -223,16 +223,21 @@ def page_offsets(t: Tables) -> DataFrame:
 
 
 OFFSETS = "o as (select p_brand bundle, p_partkey, (sum(p_size) over w - p_size + 1)::bigint s, (sum(p_size) over w)::bigint e from part window w as (partition by p_brand order by p_partkey))"
-CITED = "c as (select distinct p_brand bundle, l_orderkey item, (l_linenumber * 13 + l_orderkey % 40)::int page from lineitem join part on l_partkey = p_partkey where l_quantity >= 45)"
+PAGES_OF_LINES = "select distinct p_brand bundle, l_orderkey item, (l_linenumber * 13 + l_orderkey % 40)::int page from lineitem join part on l_partkey = p_partkey"
+CITED = f"c as ({PAGES_OF_LINES} where l_quantity >= 45)"
 
 
 def _ranges(t: Tables) -> DataFrame:
     return page_offsets(t).select("bundle", "p_partkey", F.col("start_page").alias("s"), F.col("end_page").alias("e"))
 
 
+def _pages_of(t: Tables, lines: DataFrame) -> DataFrame:
+    lines = lines.select("l_partkey", "l_orderkey", "l_linenumber")
+    return lines.join(t.part.select("p_partkey", "p_brand"), lines.l_partkey == F.col("p_partkey")).select(F.col("p_brand").alias("bundle"), F.col("l_orderkey").alias("item"), (F.col("l_linenumber") * 13 + F.col("l_orderkey") % 40).cast("int").alias("page"))
+
+
 def _cited(t: Tables) -> DataFrame:
-    lines = t.lineitem.where("l_quantity >= 45").select("l_partkey", "l_orderkey", "l_linenumber")
-    return lines.join(t.part.select("p_partkey", "p_brand"), lines.l_partkey == F.col("p_partkey")).select(F.col("p_brand").alias("bundle"), F.col("l_orderkey").alias("item"), (F.col("l_linenumber") * 13 + F.col("l_orderkey") % 40).cast("int").alias("page")).distinct()
+    return _pages_of(t, t.lineitem.where("l_quantity >= 45")).distinct()
 
 
 @query(f"with {OFFSETS}, {CITED} select c.bundle, item, page, p_partkey, page - s + 1 as local_page from c join o on c.bundle = o.bundle and page between s and e")
@@ -241,11 +246,10 @@ def range_page_to_doc(t: Tables) -> DataFrame:
     return found.select("bundle", "item", "page", "p_partkey", (F.col("page") - F.col("s") + 1).alias("local_page"))
 
 
-@query(f"""with {OFFSETS}, {CITED} select c.bundle, item, count(distinct p_partkey) docs, count(distinct page) pages, count(distinct page) filter (p_partkey is null) unmapped
+@query(f"""with {OFFSETS}, c as ({PAGES_OF_LINES}) select c.bundle, item, count(distinct p_partkey) docs, count(distinct page) pages, count(distinct page) filter (p_partkey is null) unmapped
 from c left join o on c.bundle = o.bundle and page between s and e group by 1, 2""")
 def mapped_docs(t: Tables) -> DataFrame:
-    found = guards.range_lookup(_cited(t), _ranges(t), "bundle", "page", "s", "e", "left")
-    return found.groupBy("bundle", "item").agg(F.count_distinct("p_partkey").alias("docs"), F.count_distinct("page").alias("pages"), F.count_distinct(F.when(F.col("p_partkey").isNull(), F.col("page"))).alias("unmapped"))
+    return lineage.count_mapped(_pages_of(t, t.lineitem), _ranges(t), "bundle", "item", "page", "s", "e", "p_partkey")
 
 
 @query(f"""with {OFFSETS}, {CITED}, f as (select c.bundle, item, page, s, e from c join o on c.bundle = o.bundle and page between s and e)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.support import same_rows
 
-from folio.operators import graph, guards, protocol
+from folio.operators import graph, guards, lineage, protocol
 from folio.plans import registry
 
 
@@ -57,6 +57,29 @@ def test_range_lookup_reads_no_whole_bundle(spark):
     assert joins and all("_c" in x for x in joins)
 
 
+def test_mapped_docs_of_all_lines(spark, tmp_path):
+    """Lines of any quantity count; pages in several documents or in none, null pages and bundles."""
+    part = [(1, "a", 20), (2, "a", 20), (3, "a", None), (4, "a", 0), (5, "a", -30), (6, "a", 40), (7, "a", 20), (8, "b", 30), (9, None, 200), (10, "c", None)]
+    kept = [(q, n % 37, [1, 2, 6, 7, 8, 9, 10, 11, None][n % 9], n % 7 + 1) for n, q in enumerate([1.0, 44.0, 45.0, 50.0, None] * 60)]
+    lines = [(o, p, n, q) for q, o, p, n in kept] + [(1, 1, 2, 1.0), (1, 1, 2, 50.0), (2, 6, None, 3.0), (None, 6, 1, 3.0), (500, 8, 1, 44.0), (-7, 8, 1, None)]
+    against_sql(spark, tmp_path, "mapped_docs", part=(part, "p_partkey long, p_brand string, p_size int"), lineitem=(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"))
+    rows = registry.QUERIES["mapped_docs"](spark, str(tmp_path))
+    assert [tuple(r)[2:] for r in rows.where("bundle = 'b' and item in (500, -7)").orderBy("item").collect()] == [(1, 1, 0), (0, 1, 1)]  # pages 6 and 33 of 30
+
+
+def test_count_mapped_equals_all_pairs(spark):
+    rng = random.Random(5)
+    cited = [(rng.choice(["a", "b", "c", None]), rng.choice([1, 2, 3, None]), rng.choice([None, rng.randint(-9, 40)])) for _ in range(80)] * 2
+    ranges = [(rng.choice("ab"), s, s + rng.choice([-1, 0, 3, 9]), rng.choice([None, 1, 2, 3, 4])) for _ in range(25) for s in [rng.randint(-9, 40)]] + [("a", 0, 9, None), ("a", 0, 9, 1), ("a", 2, 3, 1)]
+    want = []
+    for g, i in {(g, i) for g, i, _ in cited}:
+        pages = {p for h, j, p in cited if (h, j) == (g, i) and p is not None}
+        docs = {p: [d for h, s, e, d in ranges if h == g and s <= p <= e] or [None] for p in pages}
+        want.append((g, i, len({d for x in docs.values() for d in x} - {None}), len(pages), sum(None in x for x in docs.values())))
+    got = lineage.count_mapped(spark.createDataFrame(cited, "g string, i long, p int"), spark.createDataFrame(ranges, "g string, s long, e long, d long"), "g", "i", "p", "s", "e", "d")
+    assert sorted(map(str, map(tuple, got.select("g", "i", "docs", "pages", "unmapped").collect()))) == sorted(map(str, want))
+
+
 def test_question_pairs_equal_all_pairs(spark):
     rng = random.Random(8)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(3, 60))] for _ in range(25)]
